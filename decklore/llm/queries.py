@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from decklore.llm import exact, mixing, secrets, sharding
-from decklore.llm.common import documents
+import public_tokenizers
+
+from decklore.llm import exact, idstore, mixing, quality, secrets, sharding, toxicity
+from decklore.llm.common import documents, shared_dir
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(documents(spark, sf_dir))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +25,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/decklore-{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex}"
+    idstore.write_ids(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    return idstore.read_ids(spark, path)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(documents(spark, sf_dir))
 
@@ -28,7 +44,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_sharding, op4_exact_dedup, op9_secret_scan, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_quality,
+        op3_sharding,
+        op4_exact_dedup,
+        op6_toxicity,
+        op8_token_files,
+        op9_secret_scan,
+        op10_mixing,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
