@@ -12,6 +12,7 @@ documents with the lowest digests of their ids). Scoring is a map over whole tex
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +29,7 @@ from decklore.llm.common import hex_bits
 TRAIN_TOXIC, TRAIN_ORDINARY = 1500, 4500
 WINDOW, THRESHOLD = 192, 0.7
 BODY_BYTES, CLASS_BYTES = 16384, 8192
-MATCH = 6
+MATCH, FOLDS = 6, 4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -115,13 +116,13 @@ def _segments(own: Counter, n_own: int, other: Counter, n_other: int, tier: Tier
     return out[::-1]  # the best last, nearest to the text
 
 
-def fit(rows: list[tuple[str, int]]) -> Model | None:
-    """rows: (text, 1 for toxic or 0); None where a class is missing. Near copies of earlier rows don't count for the
-    choice of segments, as a passage of one class would look like its vocabulary."""
+def _train(rows: list[tuple[str, int]], share: float = 1.0) -> list[tuple[bytes, bytes]] | None:
+    """The pairs of dictionaries. Near copies of earlier rows don't count, as a passage of one class would look like its
+    vocabulary. share: of all rows that these are; significance asks for less where there are fewer."""
     counts, seen, used = (Counter(), Counter()), set(), [0, 0]
     for text, label in rows:
         words = _clean(text).split()
-        sketch = {h for i in range(max(1, len(words) - 4)) if (h := hash(tuple(words[i : i + 5]))) % 8 == 0}
+        sketch = {h for i in range(max(1, len(words) - 4)) if (h := zlib.crc32(b" ".join(words[i : i + 5]))) % 8 == 0}
         if sketch and 4 * len(sketch & seen) > len(sketch):
             continue
         seen |= sketch
@@ -130,20 +131,33 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     if not used[0] or not used[1]:
         return None
     pairs = []
-    for tier in TIERS:
+    for tier in (Tier(t.z * math.sqrt(share), t.lift, t.share) for t in TIERS):
         toxic = _segments(counts[1], used[1], counts[0], used[0], tier)
         ordinary = _segments(counts[0], used[0], counts[1], used[1], tier)
         own = {*toxic, *ordinary}
-        common = [w for w, _ in (counts[0] + counts[1]).most_common(4000) if w not in own][::-1]
-        body = b" " + b" ".join(common)[-BODY_BYTES:] + b" "
+        both = sorted((counts[0] + counts[1]).items(), key=lambda x: (-x[1], x[0]))
+        body = b" " + b" ".join([w for w, _ in both[:4000] if w not in own][::-1])[-BODY_BYTES:] + b" "
         room = max(sum(len(w) + 1 for w in s) + 2 for s in (toxic, ordinary))
         front = lambda s: (b" " * room + b" " + b" ".join(s) + b" ")[-room:]  # noqa: E731, B023
         pairs.append((front(toxic) + body, front(ordinary) + body))
-    model = Model(pairs, [])
-    loaded = model.compressors()
-    x = np.array([features(text, loaded, model.window) for text, _ in rows])
-    y = np.array([label for _, label in rows], float)
-    w = np.zeros(x.shape[1])
+    return pairs
+
+
+def fit(rows: list[tuple[str, int]]) -> Model | None:
+    """rows: (text, 1 for toxic or 0); None where a class is missing.
+
+    The calibration sees each row through dictionaries that weren't trained on it.
+    """
+    pairs = _train(rows)
+    if pairs is None:
+        return None
+    model, x, y = Model(pairs, []), [], []
+    for fold in range(FOLDS):
+        others = [r for i, r in enumerate(rows) if i % FOLDS != fold]
+        loaded = Model(_train(others, 1 - 1 / FOLDS) or pairs, []).compressors()
+        x += [features(text, loaded, model.window) for text, _ in rows[fold::FOLDS]]
+        y += [label for _, label in rows[fold::FOLDS]]
+    x, y, w = np.array(x), np.array(y, float), np.zeros(len(x[0]))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
