@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from decklore.llm import arrow
-from decklore.llm.tokens import encoder
+from decklore.llm.tokens import encoder, lower_letters_and_mark
 
 SEGMENT_IDS = 1 << 20
 
@@ -174,7 +174,7 @@ class _Writer:
 
 def encode_words(texts: list[str], path: str) -> list[bytes]:
     """Ids of texts for a tokenizer that drops white space: its words are encoded by themselves, each once."""
-    known = encoder(path)
+    known = encoder(path, lower_letters_and_mark)
     split = []
     for text in texts:
         for space in "\n\t\r\x0b\x0c":
@@ -211,7 +211,7 @@ def write_ids(
     dealt = keyed.repartitionByRange("key", "row").sortWithinPartitions("key", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = encoder(tokenizer).width
+        width = encoder(tokenizer, lower_letters_and_mark if drops_space else None).width
         end = b"" if end_id is None else np.array([end_id], width).tobytes()
         writer = None
         for step in arrow.steps(batches):

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 
 #: Pieces that a worker keeps; it starts anew beyond.
-MAX_PIECES = 600_000
+MAX_PIECES = 1_200_000
 
 
 class Encoder:
@@ -16,7 +17,8 @@ class Encoder:
     Ids are kept as little-endian bytes, two or four for each id, by the size of the vocabulary.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, apart: Callable[[str], tuple[str, ...] | None] | None = None) -> None:
+        self.apart = apart
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,20 +34,54 @@ class Encoder:
         return [np.array(x.ids, self.width).tobytes() for x in found]
 
     def know(self, pieces: set[str]) -> dict[str, bytes]:
-        """The cache, with all of ``pieces`` in it."""
+        """The cache, with all of ``pieces`` in it. ``parts`` may take pieces apart, so that only their parts are encoded."""
         if len(self.pieces) + len(pieces) > MAX_PIECES:
             self.pieces = {}
-        missing = list(pieces.difference(self.pieces))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            self.pieces.update(zip(part, self.encode_all(part), strict=True))
-        return self.pieces
+        known = self.pieces
+        missing = pieces.difference(known)
+        made = {p: parts for p in missing if (parts := self.parts(p))}
+        whole = missing.difference(made)
+        for parts in made.values():
+            whole.update(x for x in parts if x not in known)
+        rest = list(whole)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            known.update(zip(some, self.encode_all(some), strict=True))
+        for piece, parts in made.items():
+            known[piece] = b"".join([known[x] for x in parts])
+        return known
+
+    def parts(self, piece: str) -> tuple[str, ...] | None:
+        """Pieces of the piece, where the tokenizer would part them too."""
+        return self.apart(piece) if self.apart else None
+
+
+def letters_and_mark(piece: str) -> tuple[str, ...] | None:
+    """For tokenizers that part a run of letters, after at most one space, from a mark that ends the text."""
+    if piece[-1:] in _MARKS and piece[-1:] and (word := piece[:-1]) and word.strip(" ").isalpha():
+        return (word, piece[-1])
+    return None
+
+
+def lower_letters_and_mark(piece: str) -> tuple[str, ...] | None:
+    """The same, for those that lower the case of ASCII letters first."""
+    mark = piece[-1:] if piece[-1:] in _MARKS else ""
+    word = piece[: len(piece) - len(mark)]
+    if not word.isalpha() or not word.lower().isalpha():
+        return None
+    lower = word.lower() if word.isascii() else word
+    return (lower, mark) if mark else (lower,) if lower != word else None
+
+
+#: Marks that common texts end words with.
+_MARKS = ",.;:!?"
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, apart: Callable[[str], tuple[str, ...] | None] | None = None) -> Encoder:
+    """The worker's encoder for a tokenizer file; ``apart`` is how the first call says its pieces may be taken apart."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, apart)
     return _encoders[path]
