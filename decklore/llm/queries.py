@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from decklore.llm import exact, idstore, mixing, quality, secrets, sharding, toxicity
+from decklore.llm import bpe, exact, idstore, jaccard, mixing, quality, secrets, sharding, substring, toxicity
 from decklore.llm.common import documents, shared_dir
 
 
@@ -17,6 +17,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(documents(spark, sf_dir), keep_text=False)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(documents(spark, sf_dir))
 
@@ -25,10 +29,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/decklore-{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex}"
     idstore.write_ids(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -47,9 +59,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality,
+        op2_substring_dedup,
         op3_sharding,
         op4_exact_dedup,
+        op5_bpe,
         op6_toxicity,
+        op7_jaccard_join,
         op8_token_files,
         op9_secret_scan,
         op10_mixing,
