@@ -9,7 +9,7 @@ from decklore.functions.text import content_key
 
 
 def upsert(store: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    return store.join(rows.select(key), key, "left_anti").unionByName(rows)
+    return store.join(rows.select(key), key, "left_anti").select(*store.columns).unionByName(rows)
 
 
 def sync_diff(store: DataFrame, rows: DataFrame, group: str, key: str) -> DataFrame:
