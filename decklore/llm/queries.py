@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from decklore.llm import bpe, exact, idstore, jaccard, mixing, quality, secrets, sharding, substring, toxicity
+from decklore.llm import bpe, exact, idstore, jaccard, mixing, quality, secrets, sharding, sql, substring, toxicity
 from decklore.llm.common import documents, shared_dir
 
 
@@ -72,6 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": sql.SUBSTRINGS,
+    "op7_jaccard_join": sql.JACCARD,
+    "op9_secret_scan": sql.SECRETS,
     "op3_sharding": sharding.SHARD_SQL.format(limit=sharding.SHARD_BYTES),
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -33,13 +33,13 @@ BASE = [
 WEAK = [
     (
         "ident",
-        r"""(?i)\b(?:client_?id|access_?key_?id|account|login|user(?:_?name)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""",
+        r"""(?i)(?:client_?id|access_?key_?id|account|login|user(?:_?name)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""",
         1,
         3,
         [],
     ),
     ("key", r"[A-Za-z0-9+/_-]{20,}", 0, 20, ["[0-9]", "[a-z]", "[A-Z]"]),
-    ("host", r"""(?i)\b(?:https?|jdbc:[a-z0-9]+|amqps?|rediss?|mongodb)://[^\s"'<>]+""", 0, 10, []),
+    ("host", r"""(?i)(?:https?|jdbc:[a-z0-9]+|amqps?|rediss?|mongodb)://[^\s"'<>]+""", 0, 10, []),
 ]
 #: Least pattern with the same findings, where short matches need not be made to be dropped.
 FAST = {"hex": r"[0-9a-f]{16,}", "access": r"AKIA[A-Z0-9]{14,}"}

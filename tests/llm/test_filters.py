@@ -182,6 +182,12 @@ def test_secrets(spark, odd, empty):
     assert secrets.secret_spans(empty).count() == 0
 
 
+def test_secrets_match_sql(spark, same_as_sql):
+    rows = [cases.row(i, t) for i, t in enumerate(SECRETS)] + [cases.row(i + 100, r[1]) for i, r in enumerate(cases.odd_rows())]
+    table = pd.DataFrame([(r[0], r[1]) for r in rows], columns=["doc_id", "text"])
+    same_as_sql(secrets.secret_spans(cases.frame(spark, rows)), queries.ORACLE_SQL["op9_secret_scan"], documents=table)
+
+
 def test_entropy_of_equal_sources():
     assert mixing._measure([("a", 5), ("b", 5)], 0.3, 10)[0] == pytest.approx(1)
     assert math.isclose(mixing.bisect_exponent([("a", 5)], 5, 0.9, 4), 1.0)
