@@ -12,16 +12,18 @@ import pyarrow.compute as pc
 STEP_ROWS, STEP_BYTES = 2048, 8 << 20
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a step holds at most STEP_BYTES of text, or a single row."""
+def steps(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most_rows: int = STEP_ROWS, most_bytes: int = STEP_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a step holds at most so many bytes of text, or a single row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            n = int(np.searchsorted(ends, before + STEP_BYTES, side="right")) - at
-            n = max(1, min(n, STEP_ROWS, batch.num_rows - at))
+            n = int(np.searchsorted(ends, before + most_bytes, side="right")) - at
+            n = max(1, min(n, most_rows, batch.num_rows - at))
             yield batch.slice(at, n)
             at += n
 

@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decklore.llm import arrow
-from decklore.llm.tokens import Encoder, encoder, letters_and_mark
+from decklore.llm.tokens import SPACED_WORDS, Encoder, encoder, letters_and_mark
 
 HASH_BYTES, MASK_BITS, LEAST_CHUNK, MOST_CHUNK = 32, 10, 256, 8192
 #: Characters of chunks that a worker remembers; it starts anew beyond.
-MAX_CHUNK_CHARS = 24_000_000
+MAX_CHUNK_CHARS = 8_000_000
 HEAD_PIECES = 8
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -213,7 +213,7 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 def chunk_encoder(path: str) -> ChunkEncoder:
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(encoder(path, letters_and_mark))
+        _encoders[path] = ChunkEncoder(encoder(path, SPACED_WORDS, letters_and_mark))
     return _encoders[path]
 
 

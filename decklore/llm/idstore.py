@@ -17,14 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from decklore.llm import arrow
-from decklore.llm.tokens import encoder, lower_letters_and_mark
+from decklore.llm.tokens import ENDED_WORDS, MARKS, encoder
 
 SEGMENT_IDS = 1 << 20
+#: Larger steps have fewer distinct words for their size.
+STEP_ROWS, STEP_BYTES = 8192, 24 << 20
 
 SEGMENT = pa.schema(
     [
@@ -172,21 +175,44 @@ class _Writer:
         )
 
 
-def encode_words(texts: list[str], path: str) -> list[bytes]:
-    """Ids of texts for a tokenizer that drops white space: its words are encoded by themselves, each once."""
-    known = encoder(path, lower_letters_and_mark)
-    split = []
-    for text in texts:
-        for space in "\n\t\r\x0b\x0c":
-            if space in text:
-                text = text.replace(space, " ")
-        split.append(text.split(" "))
-    pieces = known.know({w for words in split for w in words})
-    return [b"".join(map(pieces.__getitem__, words)) for words in split]
-
-
-def encode_whole(texts: list[str], path: str) -> list[bytes]:
-    return encoder(path).encode_all(texts)
+def encode_words(column: pa.Array, path: str) -> list[bytes]:
+    """Ids of texts for a tokenizer that drops white space and case. Each distinct word is encoded once a call; a word with
+    a mark behind it is its two parts, and ASCII words are encoded in lower case."""
+    known = encoder(path, ENDED_WORDS)
+    flat, counts = arrow.words(column)
+    coded = flat.dictionary_encode()
+    words = coded.dictionary
+    words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+    # Words of letters that the normaliser leaves as they are; marks behind those are a word of their own.
+    stable = pc.and_(pc.equal(pc.utf8_normalize(words, "NFC"), words), pc.equal(pc.utf8_lower(words), words))
+    marked = pc.and_(stable, pc.match_substring_regex(words, rf"^\p{{L}}+{MARKS}$"))
+    marks = pc.if_else(marked, pc.replace_substring_regex(words, r"^\p{L}+", ""), "").dictionary_encode()
+    base = pc.if_else(marked, pc.replace_substring_regex(words, rf"{MARKS}$", ""), words).dictionary_encode()
+    bases = base.dictionary
+    alike = pc.and_(pc.equal(pc.utf8_normalize(bases, "NFC"), bases), pc.equal(pc.utf8_lower(bases), bases))
+    alike = pc.and_(alike, pc.match_substring_regex(bases, r"^\p{L}+$"))
+    own = np.empty(len(bases), object)
+    rows = alike.to_numpy(zero_copy_only=False)
+    own[rows] = known.encode_rows(bases.filter(alike).to_pylist())
+    own[~rows] = known.encode_all(bases.filter(pc.invert(alike)).to_pylist())
+    behind = np.empty(len(marks.dictionary), object)
+    behind[:] = known.encode_all(marks.dictionary.to_pylist())
+    ids = (own[base.indices.to_numpy()] + behind[marks.indices.to_numpy()]).tolist()
+    # Ids of all words, one after the other, by gathering.
+    size = np.array([len(i) for i in ids], np.int64) // known.width.itemsize
+    pool = np.frombuffer(b"".join(ids), known.width)
+    start = np.cumsum(size) - size
+    index = coded.indices.to_numpy()
+    n = size[index] if len(index) else np.empty(0, np.int64)
+    ends = np.cumsum(n)
+    out = pool[np.repeat(start[index] - (ends - n), n) + np.arange(int(n.sum()))].tobytes() if len(index) else b""
+    cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])] * known.width.itemsize
+    cuts = cuts.tolist()
+    return [out[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def encode_whole(column: pa.Array, path: str) -> list[bytes]:
+    return encoder(path).encode_all(column.to_pylist())
 
 
 def write_ids(
@@ -211,12 +237,12 @@ def write_ids(
     dealt = keyed.repartitionByRange("key", "row").sortWithinPartitions("key", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = encoder(tokenizer, lower_letters_and_mark if drops_space else None).width
+        width = encoder(tokenizer, ENDED_WORDS if drops_space else None).width
         end = b"" if end_id is None else np.array([end_id], width).tobytes()
         writer = None
-        for step in arrow.steps(batches):
+        for step in arrow.steps(batches, most_rows=STEP_ROWS, most_bytes=STEP_BYTES):
             writer = writer or _Writer(step.column("part")[0].as_py(), width)
-            ids = encode(arrow.texts(step).to_pylist(), tokenizer)
+            ids = encode(arrow.texts(step), tokenizer)
             for key, found in zip(step.column("key").to_pylist(), ids, strict=True):
                 if (segment := writer.add(key, found + end)) is not None:
                     yield segment
