@@ -63,3 +63,22 @@ def embed_texts(texts: DataFrame, embedder: Embedder) -> DataFrame:
                 yield pd.DataFrame({"text_key": part["text_key"].to_numpy(), "embedding": found})
 
     return texts.select("text_key", "text").mapInPandas(run, "text_key string, embedding array<float>")
+
+
+class ChatClient:
+    """A chat model behind a call(prompt, json_mode): tried again after errors, asked for JSON until it once refuses that, and
+    every question and answer logged."""
+
+    def __init__(self, call: Callable[[str, bool], str], log: Callable[[dict], None] = lambda row: None, waits: tuple[float, ...] = WAITS) -> None:
+        self.call, self.log, self.waits, self.json_mode = call, log, waits, True
+
+    def chat(self, prompt: str, tag: str = "") -> str:
+        try:
+            answer = with_retry(lambda: self.call(prompt, self.json_mode), self.waits)
+        except ValueError:
+            if not self.json_mode:
+                raise
+            self.json_mode = False
+            answer = with_retry(lambda: self.call(prompt, False), self.waits)
+        self.log({"tag": tag, "prompt": prompt, "answer": answer})
+        return answer.strip().removeprefix("```json").removeprefix("```").removesuffix("```").strip()
