@@ -120,3 +120,35 @@ def content_key(model: Column, text: Column) -> Column:
 
 def stripped_fence(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"^```[A-Za-z]*\s*|\s*```$", "")
+
+
+def shown(text: Column, most: int = 80) -> Column:
+    """A text on one line, cut for display."""
+    flat = F.replace(text, F.lit("\n"), F.lit("⏎"))
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most), F.lit("…"))).otherwise(flat)
+
+
+def page_of_chunk(chunk_id: Column) -> Column:
+    return F.regexp_extract(chunk_id, r"#p(\d+)", 1).try_cast("int")
+
+
+def title_of_prefix(text: Column) -> Column:
+    """The title in a chunk's [section · title · trang n/m] prefix."""
+    inner = F.regexp_extract(text, r"^\[([^\]]*)\]", 1)
+    parts = F.split(inner, " · ")
+    return F.when(F.size(parts) > 1, F.get(parts, F.size(parts) - 2))
+
+
+def audit_text(mode: Column, enriched: Column, raw: Column, title: Column) -> Column:
+    """What a chunk is searched by in an audit: all of it, its raw text, or its section's title and its start."""
+    return F.when(mode == "enriched", enriched).when(mode == "raw", raw).otherwise(F.concat_ws(" ", title, F.substring(raw, 1, 120)))
+
+
+def rendered_contexts(contexts: Column) -> Column:
+    """An array of (chunk_id, page, vlm_ratio, text) as the part of a prompt."""
+    one = lambda c: F.concat(
+        F.lit("["), c["chunk_id"], F.lit("] trang "), c["page"].cast("string"),
+        F.when(c["vlm_ratio"] > 0, F.concat(F.lit(" (có "), F.round(c["vlm_ratio"] * 100).cast("int").cast("string"), F.lit("% do máy tả ảnh — có thể sai con số)"))).otherwise(""),
+        F.lit("\n"), c["text"],
+    )
+    return F.array_join(F.transform(contexts, one), "\n\n")

@@ -152,3 +152,40 @@ def without_empty_blocks(blocks: DataFrame, flagged: DataFrame) -> DataFrame:
 def block_lines(docs: DataFrame) -> DataFrame:
     """documents(doc_id, text) to one block for each line that isn't blank: doc_id, ord, line."""
     return docs.select("doc_id", F.posexplode(lines(F.coalesce("text", F.lit("")))).alias("ord", "line"))
+
+
+def page_hashes(blocks: DataFrame) -> DataFrame:
+    """blocks(doc_id, page_no, block_ord, kind, content, box) to a digest of each page's blocks, in order: equal pages, equal
+    digests."""
+    one = F.concat_ws("\x01", "kind", F.coalesce("content", F.lit("")), F.coalesce("box", F.lit("")))
+    told = F.sort_array(F.collect_list(F.struct("block_ord", one.alias("x"))))
+    all_text = F.array_join(F.transform(told, lambda r: r["x"]), "\x02")
+    return blocks.groupBy("doc_id", "page_no").agg(F.substring(F.sha2(all_text.cast("binary"), 256), 1, 16).alias("page_hash"))
+
+
+def patch_for(documents: DataFrame, patches: DataFrame) -> DataFrame:
+    """The first patch file, by name, whose stem is part of the document's id. Patches are few files."""
+    met = documents.join(patches, F.contains(F.col("doc_id"), F.lower("stem")))
+    best = Window.partitionBy("doc_id").orderBy("stem")
+    return met.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")
+
+
+def neighbours(pages: DataFrame) -> DataFrame:
+    """Titles of the pages before and after, and whether a divider is the document's last page (then it closes it)."""
+    w = Window.partitionBy("doc_id").orderBy("page_no")
+    last = F.lead("page_no").over(w).isNull()
+    return pages.withColumn("title_before", F.lag("title").over(w)).withColumn("title_after", F.lead("title").over(w)).withColumn(
+        "closes", last & (F.col("slide_type") == "section_divider")
+    )
+
+
+def vlm_share(counts: Column) -> Column:
+    """The share of a provenance map that a model wrote; 0 for an empty one."""
+    total = F.aggregate(F.map_values(counts), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(F.try_divide(F.coalesce(F.try_element_at(counts, F.lit("vlm")), F.lit(0)), total), F.lit(0.0))
+
+
+def image_chunks(blocks: DataFrame) -> DataFrame:
+    """Described images of pages that have two or more of them; each is a chunk of its own beside its page's."""
+    told = blocks.filter((F.col("kind") == "image") & (F.coalesce(F.trim("content"), F.lit("")) != ""))
+    return told.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page_no"))).filter("n >= 2").drop("n")

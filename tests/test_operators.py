@@ -278,3 +278,42 @@ def test_queue(spark):
     waiting = spark.createDataFrame([(0, i, i, float(i % 3)) for i in range(30)], "q int, id int, arrived int, score double")
     got = intake.queue(waiting, ["q"]).orderBy("pos").collect()
     assert len(got) == 20 and {r["id"] for r in got} == set(range(10, 30)) and [r["id"] for r in got[:3]] == [11, 14, 17]
+
+
+def test_display_and_ids(spark):
+    assert one(spark, tx.shown(F.col("t"), 4), t="a\nbcde") == "a⏎bc…"
+    assert one(spark, tx.page_of_chunk(F.col("t")), t="doc#p012.1") == 12 and one(spark, tx.page_of_chunk(F.col("t")), t="doc") is None
+    assert one(spark, tx.title_of_prefix(F.col("t")), t="[Phần · Lương · trang 3/9] x") == "Lương"
+    assert one(spark, tx.audit_text(F.lit("title"), F.lit("e"), F.col("t"), F.lit("T")), t="r" * 200) == "T " + "r" * 120
+    ctx = F.array(F.struct(F.col("t").alias("chunk_id"), F.lit(3).alias("page"), F.lit(0.25).alias("vlm_ratio"), F.lit("x").alias("text")))
+    assert one(spark, tx.rendered_contexts(ctx), t="c1") == "[c1] trang 3 (có 25% do máy tả ảnh — có thể sai con số)\nx"
+    assert one(spark, dx.vlm_share(F.create_map(F.lit("vlm"), F.lit(1), F.lit("manual"), F.lit(3))), t="") == 0.25
+    assert one(spark, dx.vlm_share(F.create_map().cast("map<string,int>")), t="") == 0.0
+
+
+def test_pages(spark):
+    pages = spark.createDataFrame([("d", 1, "A", "content"), ("d", 2, "B", "section_divider"), ("d", 3, "C", "section_divider")], "doc_id string, page_no int, title string, slide_type string")
+    got = [(r["title_before"], r["title_after"], r["closes"]) for r in dx.neighbours(pages).orderBy("page_no").collect()]
+    assert got == [(None, "B", False), ("A", "C", False), ("B", None, True)]
+    blocks = "doc_id string, page_no int, block_ord int, kind string, content string, box string"
+    rows = [("d", 1, 0, "p", "x", "b"), ("d", 1, 1, "p", None, None), ("d", 2, 0, "p", "x", "b"), ("d", 2, 1, "p", None, None), ("d", 3, 0, "p", "y", "b")]
+    h = {r["page_no"]: r["page_hash"] for r in dx.page_hashes(spark.createDataFrame(rows, blocks)).collect()}
+    assert h[1] == h[2] != h[3] and len(h[1]) == 16
+    docs = spark.createDataFrame([("3_datavisualization_v2",), ("other",)], "doc_id string")
+    patches = spark.createDataFrame([("DataVisualization", 1), ("Data", 2)], "stem string, n int")
+    assert [(r["doc_id"], r["n"]) for r in dx.patch_for(docs, patches).collect()] == [("3_datavisualization_v2", 2)]
+    images = spark.createDataFrame([("d", 1, "image", "a"), ("d", 1, "image", "b"), ("d", 2, "image", "c"), ("d", 2, "image", None)], "doc_id string, page_no int, kind string, content string")
+    assert {r["content"] for r in dx.image_chunks(images).collect()} == {"a", "b"}
+
+
+def test_model_scripts(spark):
+    answer = '```json\n{"sentences": [{"kind": "content", "text": " Một hai. ", "ref": "b1", "speed": "9", "emphasis": ["hai", "bốn", "Một"]}, {"text": ""}, {"text": "x", "speed": "no"}]}\n```'
+    rows = spark.createDataFrame([("d", 1, answer), ("d", 2, "not json")], "doc_id string, page_no int, answer string")
+    got = [(r["kind"], r["text"], r["speed"], r["emphasis"]) for r in scripts.parsed_scripts(rows).collect()]
+    assert got == [("content", "Một hai.", 1.5, ["hai", "Một"]), ("content", "x", 1.0, [])]
+    used = spark.createDataFrame([("a", "NASA"), ("b", "NASA"), ("b", "AI")], "doc_id string, term string")
+    store_ = spark.createDataFrame([("NASA", "na xa"), ("AI", "ây ai"), ("XX", "x")], "term string, say string")
+    before = {r["doc_id"]: r[1] for r in scripts.term_hashes(used, store_).collect()}
+    after = {r["doc_id"]: r[1] for r in scripts.term_hashes(used, store_.withColumn("say", F.when(F.col("term") == "AI", "a i").otherwise(F.col("say")))).collect()}
+    assert before["a"] == after["a"] and before["b"] != after["b"]
+    assert one(spark, scripts.red_flags(F.array(F.col("t"), F.lit("number_missing:3"))), t="bad_grounding:2") == ["bad_grounding:2"]
