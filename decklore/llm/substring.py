@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from decklore.llm import arrow
 
 WINDOW, ANCHOR_WORDS = 50, 8
-#: Text in a group, and the least number of groups.
-GROUP_BYTES, LEAST_GROUPS = 8 << 20, 32
+#: Text in a group, and text whose entries meet in a bucket; the least number of either. Groups send at most as many rows as
+#: they have entries, and at most one for each bucket, so larger groups suit larger inputs and executors.
+GROUP_BYTES, BUCKET_BYTES, LEAST_GROUPS = 8 << 20, 64 << 20, 32
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 ENTRY = "bucket int, pid int, n int, low binary, high binary, first binary"
 BITS = "pid int, bucket int, bits binary"
@@ -90,7 +91,9 @@ class Group:
         if not len(self.start):
             return np.empty(0, np.uint64)
         grams = rabin_karp(self.words, self.anchor_words, BASES[0])
-        return sliding_min(grams, self.window - self.anchor_words + 1)[self.start]
+        least = sliding_min(grams, self.window - self.anchor_words + 1)[self.start]
+        # Least hashes are small; a product by an odd number, one to one, spreads them over the buckets.
+        return least * np.uint64(BASES[1])
 
     def anchor_entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors; for each window its anchor's place among them; whether two documents here have the anchor."""
@@ -211,12 +214,13 @@ def substring_dedup(
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     groups = max(LEAST_GROUPS, math.ceil(size / GROUP_BYTES))
+    buckets = max(LEAST_GROUPS, math.ceil(size / BUCKET_BYTES))
     dealt = slim.withColumn("pid", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).groupBy("pid")
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
         distinct, _, _ = Group(table, window).anchor_entries()
         nothing = np.empty(0, np.uint8)
-        return _send(key[0].as_py(), distinct, nothing, nothing, groups)
+        return _send(key[0].as_py(), distinct, nothing, nothing, buckets)
 
     def shared_windows(group: Group, anchors: pa.Table) -> np.ndarray:
         distinct, place, here = group.anchor_entries()
@@ -225,7 +229,7 @@ def substring_dedup(
     def send_windows(key: tuple, table: pa.Table, anchors: pa.Table) -> pa.Table:
         group = Group(table, window)
         low, high, first, _, _ = group.window_entries(shared_windows(group, anchors))
-        return _send(key[0].as_py(), low, high, first, groups)
+        return _send(key[0].as_py(), low, high, first, buckets)
 
     def apply(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         group = Group(table, window)
