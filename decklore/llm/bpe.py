@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decklore.llm import arrow
-from decklore.llm.tokens import SPACED_WORDS, Encoder, encoder, letters_and_mark
+from decklore.llm.tokens import LETTERS, MARKS, SPACED_WORDS, Encoder, encoder, gathered, letters_and_mark
 
 HASH_BYTES, MASK_BITS, LEAST_CHUNK, MOST_CHUNK = 32, 10, 256, 8192
 #: Characters of chunks that a worker remembers; it starts anew beyond.
@@ -109,35 +110,79 @@ class ChunkEncoder:
     def word_ends(self, text: str) -> list[int]:
         return [end for _, (_, end) in self.split_words(text)]
 
-    def pieces(self, text: str) -> list[str]:
-        """The text in pieces of one or more whole words. Where each run of white space is one space or newline, every
-        space starts a word; otherwise the words themselves."""
+    def is_plain(self, text: str) -> bool:
+        """Is each run of white space one space or newline? Then every space starts a word, and a newline is one."""
         inner = text[text[:1] == " " : len(text) - (text[-1:] == " " and len(text) > 1)]
-        plain = "\0" not in text and inner and len(inner.split()) == inner.count(" ") + inner.count("\n") + 1
-        if plain:
-            found = text.replace(" ", "\0 ").split("\0")
-            return found if found[0] else found[1:]
-        ends = self.word_ends(text)
-        return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return "\0" not in text and bool(inner) and " ".join(inner.split()) == inner.replace("\n", " ")
+
+    def encode_words(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct pieces of plain text: letters behind at most one space are encoded in rows, marks behind those by
+        themselves, anything else as it is."""
+        marked = pc.match_substring_regex(words, rf"^ ?\p{{L}}+{MARKS}$")
+        marked = pc.and_(marked, pc.match_substring_regex(words, rf"^ ?{LETTERS}+{MARKS}$"))
+        marks = pc.if_else(marked, pc.replace_substring_regex(words, r"^ ?\p{L}+", ""), "").dictionary_encode()
+        base = pc.if_else(marked, pc.replace_substring_regex(words, rf"{MARKS}$", ""), words).dictionary_encode()
+        alike = pc.match_substring_regex(base.dictionary, r"^ \p{L}+$")
+        own = np.empty(len(base.dictionary), object)
+        rows = alike.to_numpy(zero_copy_only=False)
+        own[rows] = self.base.encode_rows(base.dictionary.filter(alike).to_pylist())
+        own[~rows] = self.base.encode_all(base.dictionary.filter(pc.invert(alike)).to_pylist())
+        behind = np.empty(len(marks.dictionary), object)
+        behind[:] = self.base.encode_all(marks.dictionary.to_pylist())
+        return (own[base.indices.to_numpy()] + behind[marks.indices.to_numpy()]).tolist()
 
     def encode_chunks(self, texts: list[str]) -> dict[str, Chunk]:
         """The chunks of these texts, those that aren't remembered encoded now."""
         if self.n_chars > MAX_CHUNK_CHARS:
             self.chunks, self.n_chars = {}, 0
-        cut = {t: self.pieces(t) for t in dict.fromkeys(texts) if t not in self.chunks}
-        last = {t: p[-1][([0, *self.word_ends(p[-1])])[-2] :] for t, p in cut.items() if p}
-        known = self.base.know({p for pieces in cut.values() for p in pieces} | set(last.values()))
-        for text, pieces in cut.items():
-            encoded = [known[p] for p in pieces]
-            ids, head, chars, n = b"".join(encoded), [], 0, 0
-            for p, e in zip(pieces[:HEAD_PIECES], encoded, strict=False):
-                chars, n = chars + len(p), n + len(e)
-                head.append((chars, n))
-            end = last.get(text, "")
-            self.chunks[text] = Chunk(text, ids, head, (len(text) - len(end), len(ids) - len(known.get(end, b""))))
-            self.n_chars += len(text)
+        new = [t for t in dict.fromkeys(texts) if t not in self.chunks]
+        plain = [t for t in new if self.is_plain(t)]
+        self.n_chars += sum(map(len, new))
+        if plain:
+            self._encode_plain(plain)
+        for text in new:
+            if text not in self.chunks:
+                ends = self.word_ends(text)
+                words = [text[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+                known = self.base.know(set(words))
+                head, n = [], 0
+                for end, word in list(zip(ends, words, strict=True))[:HEAD_PIECES]:
+                    n += len(known[word])
+                    head.append((end, n))
+                ids = b"".join(known[w] for w in words)
+                last = len(words[-1]) if words else 0
+                self.chunks[text] = Chunk(text, ids, head, (len(text) - last, len(ids) - (len(known[words[-1]]) if words else 0)))
         return self.chunks
 
+    def _encode_plain(self, texts: list[str]) -> None:
+        column = pa.array(texts, pa.string())
+        for old, cut in ((" ", "\0 "), ("\n", "\0\n\0")):
+            column = pc.replace_substring(column, old, cut)
+        lists = pc.split_pattern(column, "\0")
+        flat, of = lists.flatten(), pc.list_parent_indices(lists)
+        there = pc.not_equal(flat, "")
+        coded = flat.filter(there).dictionary_encode()
+        upto = np.cumsum(np.bincount(of.filter(there).to_numpy(), minlength=len(texts)))
+        index, width = coded.indices.to_numpy(), self.base.width
+        ids, ends = gathered(self.encode_words(coded.dictionary), index, width)
+        ends = np.concatenate([[0], ends]) * width.itemsize
+        chars = np.concatenate([[0], np.cumsum(pc.utf8_length(coded.dictionary).to_numpy()[index])])
+        # Where the last word of each last piece starts, and how many ids it has.
+        last = index[upto - 1]
+        distinct = np.unique(last)
+        tails = {}
+        for i, piece in zip(distinct.tolist(), coded.dictionary.take(pa.array(distinct)).to_pylist(), strict=True):
+            tails[i] = piece[([0, *self.word_ends(piece)])[-2] :]
+        sizes = dict(zip(tails.values(), map(len, self.base.encode_all(list(tails.values()))), strict=True))
+        start = 0
+        for text, stop, piece in zip(texts, upto.tolist(), last.tolist(), strict=True):
+            c, n = int(chars[start]), int(ends[start])
+            z = min(start + HEAD_PIECES, stop) + 1
+            head = list(zip((chars[start + 1 : z] - c).tolist(), (ends[start + 1 : z] - n).tolist(), strict=True))
+            own, tail = ids[n : int(ends[stop])], tails[piece]
+            self.chunks[text] = Chunk(text, own, head, (len(text) - len(tail), len(own) - sizes[tail]))
+            start = stop
+
     def seam(self, left: Chunk, right: Chunk) -> tuple[bytes, int, int] | None:
         """What stands between the last word of ``left`` and a word's end of ``right`` that holds in both splits: the ids,
         and the characters and bytes of ids of ``right`` that they replace. None if there is no such end."""
@@ -193,6 +238,9 @@ class ChunkEncoder:
         for start, ends in zip(starts[:-1].tolist(), cuts, strict=True):
             texts_of.append([data[a:b].decode() for a, b in zip([start, *ends[:-1]], ends, strict=True)])
         known = self.encode_chunks([t for row in texts_of for t in row])
+        # What most seams will be made of, encoded together.
+        pairs = ((known[a], known[b]) for row in texts_of for a, b in zip(row[:-1], row[1:], strict=True))
+        self.base.know({a.text[a.tail[0] :] + b.text[: b.head[0][0]] for a, b in pairs if b.head})
         found = [self.join([known[t] for t in row]) for row in texts_of]
         return [b"".join(x if isinstance(x, bytes) else found[x] for x in row) for row in plan]
 

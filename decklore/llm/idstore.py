@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from decklore.llm import arrow
-from decklore.llm.tokens import ENDED_WORDS, MARKS, encoder
+from decklore.llm.tokens import ENDED_WORDS, LETTERS, MARKS, encoder, gathered
 
 SEGMENT_IDS = 1 << 20
 #: Larger steps have fewer distinct words for their size.
-STEP_ROWS, STEP_BYTES = 8192, 24 << 20
+STEP_ROWS, STEP_BYTES = 8192, 16 << 20
 
 SEGMENT = pa.schema(
     [
@@ -186,6 +186,7 @@ def encode_words(column: pa.Array, path: str) -> list[bytes]:
     # Words of letters that the normaliser leaves as they are; marks behind those are a word of their own.
     stable = pc.and_(pc.equal(pc.utf8_normalize(words, "NFC"), words), pc.equal(pc.utf8_lower(words), words))
     marked = pc.and_(stable, pc.match_substring_regex(words, rf"^\p{{L}}+{MARKS}$"))
+    marked = pc.and_(marked, pc.match_substring_regex(words, rf"^{LETTERS}+{MARKS}$"))
     marks = pc.if_else(marked, pc.replace_substring_regex(words, r"^\p{L}+", ""), "").dictionary_encode()
     base = pc.if_else(marked, pc.replace_substring_regex(words, rf"{MARKS}$", ""), words).dictionary_encode()
     bases = base.dictionary
@@ -198,16 +199,9 @@ def encode_words(column: pa.Array, path: str) -> list[bytes]:
     behind = np.empty(len(marks.dictionary), object)
     behind[:] = known.encode_all(marks.dictionary.to_pylist())
     ids = (own[base.indices.to_numpy()] + behind[marks.indices.to_numpy()]).tolist()
-    # Ids of all words, one after the other, by gathering.
-    size = np.array([len(i) for i in ids], np.int64) // known.width.itemsize
-    pool = np.frombuffer(b"".join(ids), known.width)
-    start = np.cumsum(size) - size
-    index = coded.indices.to_numpy()
-    n = size[index] if len(index) else np.empty(0, np.int64)
-    ends = np.cumsum(n)
-    out = pool[np.repeat(start[index] - (ends - n), n) + np.arange(int(n.sum()))].tobytes() if len(index) else b""
-    cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])] * known.width.itemsize
-    cuts = cuts.tolist()
+    out, ends = gathered(ids, coded.indices.to_numpy(), known.width)
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    cuts = (np.concatenate([[0], ends])[upto] * known.width.itemsize).tolist()
     return [out[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
 
 

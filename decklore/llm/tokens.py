@@ -116,6 +116,8 @@ class Encoder:
 
 
 #: ASCII marks but the apostrophe, as a pattern; any run of them behind letters is a word of its own.
+#: Letters of scripts that no version of Unicode has changed of late, so all libraries agree on what they are.
+LETTERS = "[A-Za-zÀ-ɏͰ-ϿЀ-ӿḀ-ỿ]"
 MARKS = r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""
 
 
@@ -137,3 +139,15 @@ def encoder(path: str, row: Row | None = None, apart: Apart | None = None) -> En
     if path not in _encoders:
         _encoders[path] = Encoder(path, row, apart)
     return _encoders[path]
+
+
+def gathered(ids: list[bytes], index: np.ndarray, width: np.dtype) -> tuple[bytes, np.ndarray]:
+    """The ids of items, given those of the distinct ones and each item's place among these: all of them one after the other,
+    and the number of ids up to each item's end."""
+    size = np.array([len(i) for i in ids], np.int64) // width.itemsize
+    pool, start = np.frombuffer(b"".join(ids), width), np.cumsum(size) - size
+    n = size[index]
+    ends = np.cumsum(n)
+    if not len(index) or not ends[-1]:
+        return b"", ends
+    return pool[np.repeat(start[index] - (ends - n), n) + np.arange(ends[-1])].tobytes(), ends
