@@ -123,6 +123,8 @@ class ChunkEncoder:
         marks = pc.if_else(marked, pc.replace_substring_regex(words, r"^ ?\p{L}+", ""), "").dictionary_encode()
         base = pc.if_else(marked, pc.replace_substring_regex(words, rf"{MARKS}$", ""), words).dictionary_encode()
         alike = pc.match_substring_regex(base.dictionary, r"^ \p{L}+$")
+        if not self.base.row:
+            alike = pc.and_(alike, False)
         own = np.empty(len(base.dictionary), object)
         rows = alike.to_numpy(zero_copy_only=False)
         own[rows] = self.base.encode_rows(base.dictionary.filter(alike).to_pylist())
