@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import platform
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Rows and bytes of text that one step works on, whatever the size of Spark's batches.
-STEP_ROWS, STEP_BYTES = 2048, 8 << 20
+STEP_ROWS, STEP_BYTES = 1024, 4 << 20
 
 
 def steps(
@@ -26,6 +29,31 @@ def steps(
             n = max(1, min(n, most_rows, batch.num_rows - at))
             yield batch.slice(at, n)
             at += n
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task holds none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and platform.libc_ver()[0] == "glibc":
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def giving_back(f):
+    """The function of groups, followed by ``give_back``."""
+
+    def keyed(key: tuple, *tables: pa.Table) -> pa.Table:
+        out = f(key, *tables)
+        give_back()
+        return out
+
+    def keyed_one(key: tuple, table: pa.Table) -> pa.Table:
+        return keyed(key, table)
+
+    def keyed_two(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        return keyed(key, left, right)
+
+    return keyed_two if f.__code__.co_argcount == 3 else keyed_one
 
 
 def texts(batch: pa.RecordBatch, text: str = "text") -> pa.Array:

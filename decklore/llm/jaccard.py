@@ -323,7 +323,7 @@ def jaccard_classes(
     by_unit = F.pmod(F.xxhash64("tree", "key", "low", "high"), F.lit(groups)).cast("int").alias("pid")
     slim_rows = units.join(reps.select("doc_id", "n_shingles", "keys"), "doc_id").withColumn("pid", by_unit)
     needed = slim_rows.groupBy("pid").applyInArrow(
-        lambda t: _needed(t, threshold), "doc_id long, tree int, key long, low int, high int, block int"
+        arrow.giving_back(lambda key, t: _needed(t, threshold)), "doc_id long, tree int, key long, low int, high int, block int"
     )
     needed = stage_table(needed.distinct(), "jaccard-needed")
     wanted = needed.groupBy("doc_id").agg(F.collect_list(F.struct("tree", "key", "low", "high", "block")).alias("units"))
@@ -332,7 +332,7 @@ def jaccard_classes(
         "doc_id", "n", "keys", "text", "u.*"
     )
     verified = full.withColumn("pid", by_unit).groupBy("pid").applyInArrow(
-        lambda t: _verify(t, threshold, shingle), "doc_id long, links long, root long"
+        arrow.giving_back(lambda key, t: _verify(t, threshold, shingle)), "doc_id long, links long, root long"
     )
     verified = stage_table(verified, "jaccard-links")
     links = verified.groupBy("doc_id").agg(F.sum("links").alias("links"))

@@ -30,7 +30,7 @@ from decklore.llm import arrow
 WINDOW, ANCHOR_WORDS = 50, 8
 #: Text in a group, and text whose entries meet in a bucket; the least number of either. Groups send at most as many rows as
 #: they have entries, and at most one for each bucket, so larger groups suit larger inputs and executors.
-GROUP_BYTES, BUCKET_BYTES, LEAST_GROUPS = 8 << 20, 64 << 20, 32
+GROUP_BYTES, BUCKET_BYTES, LEAST_GROUPS = 8 << 20, 16 << 20, 16
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 ENTRY = "bucket int, pid int, n int, low binary, high binary, first binary"
 BITS = "pid int, bucket int, bits binary"
@@ -243,12 +243,12 @@ def substring_dedup(
         digest = [hashlib.sha256(t).hexdigest() for t in out.column("kept_text").cast(pa.binary()).to_pylist()]
         return out.drop_columns(["kept_text"]).append_column("kept_sha256", pa.array(digest, pa.string()))
 
-    anchors = dealt.applyInArrow(send_anchors, ENTRY)
+    anchors = dealt.applyInArrow(arrow.giving_back(send_anchors), ENTRY)
     anchors = anchors.groupBy("bucket").applyInArrow(lambda t: _compare(t, False), BITS)
-    windows = dealt.cogroup(anchors.groupBy("pid")).applyInArrow(send_windows, ENTRY)
+    windows = dealt.cogroup(anchors.groupBy("pid")).applyInArrow(arrow.giving_back(send_windows), ENTRY)
     windows = windows.groupBy("bucket").applyInArrow(lambda t: _compare(t, True), BITS)
     answers = anchors.withColumn("stage", F.lit(0)).unionByName(windows.withColumn("stage", F.lit(1)))
     last = "kept_text string" if keep_text else "kept_sha256 string"
     return dealt.cogroup(answers.groupBy("pid")).applyInArrow(
-        apply, f"doc_id long, n_words long, n_removed long, {last}"
+        arrow.giving_back(apply), f"doc_id long, n_words long, n_removed long, {last}"
     )
