@@ -11,11 +11,12 @@ from decklore.functions.text import terms
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
-def postings(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf, dl: one row for each distinct term of each chunk. The length is counted before the explode, so no
-    second pass is needed."""
+def postings(chunks: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, dl: one row for each distinct term of each chunk, or of the terms in ``only``. The length is counted
+    before the explode, so no second pass is needed."""
     cut = chunks.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
     cut = cut.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    cut = cut.join(only, "term", "left_semi") if only is not None else cut
     return cut.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -45,7 +46,8 @@ def scores(queries: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_c
         F.count(F.lit(1)).alias("times")
     )
     # Statistics are needed for the terms asked for; those terms alone are joined to the postings.
-    stats = term_stats(posts, corpus).join(asked.select("term").distinct(), "term", "left_semi")
-    found = asked.join(stats, "term").join(posts, "term").crossJoin(F.broadcast(corpus.select("avgdl")))
+    wanted = asked.select("term").distinct()
+    stats = term_stats(posts, corpus).join(wanted, "term", "left_semi")
+    found = asked.join(stats, "term").join(postings(chunks, id_col, text_col, wanted), "term").crossJoin(F.broadcast(corpus.select("avgdl")))
     one = F.col("times") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
     return found.groupBy("qid", "id").agg(F.sum(one).alias("score")).filter("score > 0")
