@@ -2,7 +2,9 @@
 
 Single-pattern findings stand by themselves. Weak candidates (identifiers, unlabelled keys and endpoints, each common in
 clean text) are reported only where complementary parts meet: within one document, at most SCOPE code points apart, a key
-with an identifier or an endpoint, and an identifier or endpoint with a key or a single-pattern finding.
+with an identifier, an endpoint or an access identifier (which is a finding by itself), and an identifier or endpoint with
+a key or a single-pattern finding. A weak candidate that overlaps a finding isn't reported, but an identifier in front of
+an access identifier still names the key beside it.
 
 Positions come from splitting on a pattern: the pieces between matches and the matches alternate, so running sums of
 their lengths are the starts. Parts are joined on bins of SCOPE code points as a semi-join, which emits no pairs.
@@ -112,13 +114,15 @@ def _near(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
 def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Base findings, and weak candidates outside of them whose complement is in scope."""
     n = len(BASE)
-    ident, key, host = n, n + 1, n + 2
+    access, ident, key, host = KINDS.index("access"), n, n + 1, n + 2
     base, weak = parts.filter(F.col("kind") < n), parts.filter(F.col("kind") >= n)
     # A candidate that overlaps a base finding says nothing new.
     inside = _near(weak, base, 0)
     weak = weak.join(inside, ["row", "kind", "start", "end"], "left_anti")
     keys, named = weak.filter(F.col("kind") == key), weak.filter(F.col("kind").isin(ident, host))
-    linked_keys = _near(keys, named, scope)
+    ids = base.filter(F.col("kind") == access)
+    labels = _near(parts.filter(F.col("kind") == ident), ids, 0)
+    linked_keys = _near(keys, named.unionByName(ids).unionByName(labels), scope)
     linked_names = _near(named, parts.filter(F.col("kind") < n).unionByName(keys), scope)
     return base.unionByName(linked_keys).unionByName(linked_names)
 
