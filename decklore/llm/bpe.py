@@ -4,7 +4,8 @@ A rolling hash over bytes cuts each text into chunks, so that passages that docu
 they lie. A worker encodes each distinct chunk once while it remembers it. A cut may fall inside a word; then what stands
 on either side of it is wrong, and is repaired: from the start of the last word of the left chunk the text is split anew,
 over more and more of the right chunk, until a word ends where a word of the right chunk ends too. From there on both
-splits must agree, as the splitter looks at nothing behind it; the ids in between are encoded anew.
+splits must agree, as the splitter looks at nothing behind it; the ids in between are encoded anew. Where the left chunk
+ends within what may become 're, 've or 'll, the apostrophe before its last word belongs to the repair.
 
 Chunks are shared within a worker, not across the cluster: to bring equal chunks together would shuffle all of the text,
 and cost more than encoding them.
@@ -30,6 +31,7 @@ HASH_BYTES, MASK_BITS, LEAST_CHUNK, MOST_CHUNK = 32, 10, 256, 8192
 #: Characters of chunks that a worker remembers; it starts anew beyond.
 MAX_CHUNK_CHARS = 8_000_000
 HEAD_PIECES = 8
+HALF_CONTRACTIONS = ("'r", "'v", "'l")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -80,7 +82,7 @@ class Chunk:
     ids: bytes
     #: Ends of the first pieces: characters and bytes of ids.
     head: list[tuple[int, int]]
-    #: Where the last word starts: characters and bytes of ids.
+    #: Up to where the split holds, whatever follows: characters and bytes of ids.
     tail: tuple[int, int]
 
 
@@ -110,6 +112,11 @@ class ChunkEncoder:
     def word_ends(self, text: str) -> list[int]:
         return [end for _, (_, end) in self.split_words(text)]
 
+    def open_words(self, text: str, ends: list[int]) -> int:
+        """How many of the last words may be split in another way when text follows: one, or two where the apostrophe and
+        the first letter of a contraction of three characters end the text."""
+        return 1 + (len(ends) > 1 and text[-2:] in HALF_CONTRACTIONS and ends[-2] - (ends[-3] if len(ends) > 2 else 0) == 1)
+
     def is_plain(self, text: str) -> bool:
         """Is each run of white space one space or newline? Then every space starts a word, and a newline is one."""
         inner = text[text[:1] == " " : len(text) - (text[-1:] == " " and len(text) > 1)]
@@ -152,8 +159,9 @@ class ChunkEncoder:
                     n += len(known[word])
                     head.append((end, n))
                 ids = b"".join(known[w] for w in words)
-                last = len(words[-1]) if words else 0
-                self.chunks[text] = Chunk(text, ids, head, (len(text) - last, len(ids) - (len(known[words[-1]]) if words else 0)))
+                last = words[-self.open_words(text, ends) :]
+                tail = (len(text) - sum(map(len, last)), len(ids) - sum(len(known[w]) for w in last))
+                self.chunks[text] = Chunk(text, ids, head, tail)
         return self.chunks
 
     def _encode_plain(self, texts: list[str]) -> None:
@@ -169,12 +177,13 @@ class ChunkEncoder:
         ids, ends = gathered(self.encode_words(coded.dictionary), index, width)
         ends = np.concatenate([[0], ends]) * width.itemsize
         chars = np.concatenate([[0], np.cumsum(pc.utf8_length(coded.dictionary).to_numpy()[index])])
-        # Where the last word of each last piece starts, and how many ids it has.
+        # The open words of each last piece, and how many ids they have.
         last = index[upto - 1]
         distinct = np.unique(last)
         tails = {}
         for i, piece in zip(distinct.tolist(), coded.dictionary.take(pa.array(distinct)).to_pylist(), strict=True):
-            tails[i] = piece[([0, *self.word_ends(piece)])[-2] :]
+            cuts = self.word_ends(piece)
+            tails[i] = piece[[0, *cuts][-1 - self.open_words(piece, cuts)] :]
         sizes = dict(zip(tails.values(), map(len, self.base.encode_all(list(tails.values()))), strict=True))
         start = 0
         for text, stop, piece in zip(texts, upto.tolist(), last.tolist(), strict=True):
@@ -186,14 +195,15 @@ class ChunkEncoder:
             start = stop
 
     def seam(self, left: Chunk, right: Chunk) -> tuple[bytes, int, int] | None:
-        """What stands between the last word of ``left`` and a word's end of ``right`` that holds in both splits: the ids,
+        """What stands between the open words of ``left`` and a word's end of ``right`` that holds in both splits: the ids,
         and the characters and bytes of ids of ``right`` that they replace. None if there is no such end."""
         tail = left.text[left.tail[0] :]
         for i in range(len(right.head) - 1):
             until = right.head[i + 1][0]
             ends = self.word_ends(tail + right.text[:until])
+            sure = ends[: -self.open_words(tail + right.text[:until], ends)]
             for chars, n in right.head[: i + 1]:
-                if (at := len(tail) + chars) in ends[:-1]:
+                if chars <= right.tail[0] and (at := len(tail) + chars) in sure:
                     words = [0, *ends[: ends.index(at) + 1]]
                     text = tail + right.text[:chars]
                     cut = [text[a:b] for a, b in zip(words[:-1], words[1:], strict=True)]

@@ -124,6 +124,28 @@ def test_bpe_agrees_with_the_library(limits):
         assert own.decode(ids) == plain.decode(ids, skip_special_tokens=False) == text
 
 
+@pytest.mark.parametrize("limits", [(10, 256, 8192), (1, 1, 4), (2, 3, 16), (2, 1, 3)])
+def test_bpe_of_contractions_across_cuts(limits):
+    own, plain = bpe.ChunkEncoder(tokens.Encoder(BYTE, tokens.SPACED_WORDS, tokens.letters_and_mark), *limits), library(BYTE)
+    random.seed(5)
+    parts = ["they", "'re", "'ve", "'ll", "'r", "'v", "'l", "'", "''", "'s", "'m", "'d", "'t", "r", "e", "l", "v", "!", "!'", " ", " '", "\n", "  ", "we", "1", "é", "."]
+    texts = ["".join(random.choices(parts, k=random.randint(1, 16))) for _ in range(200)]
+    texts += [" ".join(random.choices(["they're", "we've", "you'll", "'re", "plain"], k=3000 if limits[1] > 3 else 10)) for _ in range(20)]
+    for text, raw in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(raw, own.base.width).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_joins_contractions_at_any_cut():
+    own, plain = bpe.ChunkEncoder(tokens.Encoder(BYTE)), library(BYTE)
+    for text in ["say they're here", "a've b", "you'll see", "x\n'll y", "!'re z", " 're z", "it's we'll"]:
+        for a in range(1, len(text)):
+            for b in range(a, len(text)):
+                parts = [text[:a], text[a:b], text[b:]] if a < b else [text[:a], text[a:]]
+                known = own.encode_chunks(parts)
+                ids = np.frombuffer(own.join([known[t] for t in parts]), own.base.width).tolist()
+                assert ids == plain.encode(text, add_special_tokens=False).ids, parts
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=4))
 def test_bpe_of_any_text(texts):
