@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,8 +62,22 @@ def bisect_exponent(
     return a
 
 
-def mix(
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, source, n_tokens (words), block, copies. The options are those of
+    ``_mix``.
+
+    ``budget_tokens`` is the size of the mix, by default that of the input. copies says how often the document is in
+    the mix, 0 or more; a source's tokens in the mix are at most its weight times the budget, rounded, and less than one
+    document below. Null sources count as the source ''. Documents without words cost nothing and are in every pass.
+    Rows that repeat an id, or null ids, are rows like any other; of equal rows at the edge of a budget some may be in
+    and others not. An empty table gives an empty result.
+    """
+    return _mix(docs, F.monotonically_increasing_id(), **options).drop("row")
+
+
+def _mix(
     docs: DataFrame,
+    row: Column,
     target_entropy: float = TARGET_ENTROPY,
     max_epochs: float = MAX_EPOCHS,
     budget_tokens: int | None = None,
@@ -72,14 +86,7 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, source, n_tokens (words), block, copies.
-
-    ``budget_tokens`` is the size of the mix, by default that of the input. copies says how often the document is in
-    the mix, 0 or more; a source's tokens in the mix are at most its weight times the budget, rounded, and less than one
-    document below. Null sources count as the source ''. Documents without words cost nothing and are in every pass.
-    Rows that repeat an id, or null ids, are rows like any other; of equal rows at the edge of a budget some may be in
-    and others not. An empty table gives an empty result.
-    """
+    """What ``mix`` says, and the number of the row; ``row`` tells the rows apart."""
     words = F.size(F.filter(F.split(F.coalesce(docs[text_col], F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     key = F.coalesce(docs[id_col].cast("string"), F.lit("null"))
     rows = docs.select(
@@ -88,7 +95,7 @@ def mix(
         words.cast("long").alias("n_tokens"),
         F.pmod(hex_bits(key), F.lit(blocks)).alias("block"),
         hex_bits(key, 15).alias("at"),
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
     )
     rows = stage_table(rows, "mix-rows")
     per_block = stage_table(
@@ -101,7 +108,7 @@ def mix(
     head = totals.orderBy("source").limit(MAX_HOT_KEYS + 1).collect()
     few = len(head) <= MAX_HOT_KEYS
     if not head:
-        return rows.select("doc_id", "source", "n_tokens", "block", F.lit(1).cast("long").alias("copies"))
+        return rows.select("row", "doc_id", "source", "n_tokens", "block", F.lit(1).cast("long").alias("copies"))
     known = [(r["source"], r["tokens"]) for r in head] if few else stage_table(totals, "mix-totals")
     grand = sum(t for _, t in known) if few else known.agg(F.sum("tokens")).first()[0]
     budget = float(budget_tokens or grand)
@@ -143,6 +150,7 @@ def mix(
         .select("row", F.lit(1).alias("more"))
     )
     return marked.join(edge, "row", "left").select(
+        "row",
         "doc_id",
         "source",
         "n_tokens",
@@ -155,11 +163,14 @@ def mix(
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as ``mix`` says; the columns stay as they are. Needs distinct, non-null ids."""
-    copies = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), "copies")
-    copies = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    id_col = options.get("id_col", "doc_id")
-    return docs.join(copies, docs[id_col] == copies["__id"]).select(*[docs[c] for c in docs.columns])
+    """``docs`` with each row as often as ``mix`` says of it; the columns stay as they are. Null and repeated ids are rows
+    like any other: copies find their row by a number that is staged with it."""
+    rows = stage_table(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
+    copies = _mix(rows, rows["__row"], **options).filter("copies > 0").select(
+        F.col("row").alias("__row"), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("__copies")
+    )
+    found = rows.join(copies, "__row").withColumn("__copy", F.explode("__copies"))
+    return found.select(*docs.columns)
 
 
 #: DuckDB SQL for the defaults and the input's size as budget; the bisection of the entropy as a recursive query.

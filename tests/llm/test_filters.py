@@ -144,6 +144,17 @@ def test_mix_meets_targets(spark, odd, empty):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0
 
 
+def test_mixed_rows_of_null_and_repeated_ids(spark):
+    texts = [f"text {i} of some words" for i in range(12)]
+    ids = [None, None, None, 5, 5, 5, 5, 6, 7, 8, 9, None]
+    docs = cases.frame(spark, [cases.row(i, t, "ab"[k % 2]) for k, (i, t) in enumerate(zip(ids, texts, strict=True))])
+    both = sorted(((r["doc_id"], r["text"]) for r in mixing.mixed_rows(docs).collect()), key=str)
+    assert both == sorted(zip(ids, texts, strict=True), key=str)
+    twice = mixing.mixed_rows(docs, budget_tokens=2 * 5 * 12)
+    assert twice.columns == docs.columns
+    assert Counter(r["text"] for r in twice.collect()) == dict.fromkeys(texts, 2)
+
+
 def brute_secrets(text):
     found, counts = [], []
     for k, (_, pattern, group, least) in enumerate(secrets.BASE):
