@@ -30,7 +30,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 24, 8, 0.9999
 BLOCK = 512
 GROUP_BYTES, LEAST_GROUPS = 8 << 20, 64
-SIGNATURE = "doc_id long, shingles binary, n_shingles int, n_bytes int, keys array<long>"
+SIGNATURE = "row long, doc_id long, shingles binary, n_shingles int, n_bytes int, keys array<long>"
 
 
 def prefix_length(threshold: float, trees: int, depth: int, target: float) -> int:
@@ -95,13 +95,14 @@ def signatures(batch: pa.RecordBatch, size: int, trees: int, prefix: int) -> pa.
     offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, trees, 0))]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
+            batch.column("row"),
             batch.column("doc_id"),
             pa.array(digest, pa.binary()),
             pa.array(per, pa.int32()),
             pa.array(pc.binary_length(column)).cast(pa.int32()),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64))),
         ],
-        names=["doc_id", "shingles", "n_shingles", "n_bytes", "keys"],
+        names=["row", "doc_id", "shingles", "n_shingles", "n_bytes", "keys"],
     )
 
 
@@ -197,13 +198,13 @@ def _needed(table: pa.Table, threshold: float) -> pa.Table:
         left, right, new = _pairs(unit, keys, sizes, threshold)
         found += [left[new.any(axis=1)], right[new.any(axis=0)]]
     rows = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return table.take(pa.array(rows, pa.int64())).select(["doc_id", "tree", "key", "low", "high", "block"])
+    return table.take(pa.array(rows, pa.int64())).select(["row", "tree", "key", "low", "high", "block"])
 
 
 def _verify(table: pa.Table, threshold: float, size: int) -> pa.Table:
-    """For each row with a link in its unit: doc_id, links (documents, not representatives), root."""
+    """For each row with a link in its unit: row, links (documents, not representatives), root."""
     keys = _keys(table)
-    ids, weights = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
+    ids, weights = table.column("row").to_numpy(), table.column("n").to_numpy()
     # A document may be in several units; its set is made once.
     distinct, first, place = np.unique(ids, return_index=True, return_inverse=True)
     texts = pc.fill_null(table.column("text").combine_chunks().take(pa.array(first)), "")
@@ -235,7 +236,7 @@ def _verify(table: pa.Table, threshold: float, size: int) -> pa.Table:
             root[j] = i
         out += [(i, n, top(i)) for i, n in count.items()]
     columns = list(zip(*out, strict=True)) or [[], [], []]
-    return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "links", "root"), columns, strict=True)})
+    return pa.table({k: pa.array(c, pa.int64()) for k, c in zip(("row", "links", "root"), columns, strict=True)})
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,50 +269,60 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def jaccard_classes(
-    docs: DataFrame,
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id, n_links, n_copies. The options are those of ``_classes``.
+
+    Two documents are linked if the Jaccard similarity of their sets of shingles is at least ``threshold``. n_links is
+    the number of documents linked to this one, n_copies that of documents with its set, itself included (they are among
+    its links). class_id is the smallest id in the connected component. A text of fewer words than a shingle is one
+    shingle; a text without words (null, empty) has no links and is its own class. Rows that repeat an id are documents
+    of their own, each with its own text. Rows with a null id are left as classes of their own with a null class_id; with
+    ``null_ids`` they are documents like any other, and class_id is null where all ids of a class are. An empty table
+    gives an empty result.
+    """
+    columns = docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")
+    slim = stage_table(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "jaccard-texts")
+    return _classes(slim, **options).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _classes(
+    slim: DataFrame,
     threshold: float = THRESHOLD,
     shingle: int = SHINGLE,
     trees: int = TREES,
     target_recall: float = TARGET_RECALL,
     block: int = BLOCK,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+    null_ids: bool = False,
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id, n_links, n_copies.
-
-    Two documents are linked if the Jaccard similarity of their sets of shingles is at least ``threshold``. n_links is
-    the number of documents linked to this one, n_copies that of documents with its set, itself included (they are among
-    its links). class_id is the smallest id in the connected component. A text of fewer words than a shingle is one
-    shingle; a text without words (null, empty) has no links and is its own class. Ids must be distinct and not null:
-    rows with a null id are left as classes of their own with a null class_id; rows that repeat an id count as documents
-    with equal ids. An empty table gives an empty result.
-    """
+    """What ``jaccard_classes`` says of staged (row, doc_id, text), with each row's number, and that of the row that stays
+    of its class: the one of the smallest id, then of the smallest number. Rows are told apart by number alone."""
     prefix = prefix_length(threshold, trees, DEPTH, target_recall)
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    searched = F.col("n_shingles") > 0
+    if not null_ids:
+        searched = searched & F.col("doc_id").isNotNull()
 
     def sign(batches):
         for step in arrow.steps(batches):
             yield signatures(step, shingle, trees, prefix)
 
     signed = stage_table(slim.mapInArrow(sign, SIGNATURE), "jaccard-signatures")
-    known = signed.filter("n_shingles > 0 and doc_id is not null")
+    known = signed.filter(searched)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     sets = stage_table(
-        known.groupBy("shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "jaccard-sets"
+        known.groupBy("shingles").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "jaccard-sets"
     )
-    reps = known.join(sets.select("shingles", F.col("rep").alias("doc_id"), "n"), ["shingles", "doc_id"])
-    reps = reps.dropDuplicates(["doc_id"])
-    reps = stage_table(reps.select("doc_id", "n", "n_shingles", "n_bytes", "keys"), "jaccard-representatives")
-    paths = reps.select("doc_id", F.posexplode("keys").alias("tree", "key"))
+    reps = known.join(sets.select(F.col("first.row").alias("row"), "n"), "row")
+    reps = stage_table(reps.select("row", "n", "n_shingles", "n_bytes", "keys"), "jaccard-representatives")
+    paths = reps.select("row", F.posexplode("keys").alias("tree", "key"))
     nodes = stage_table(
         paths.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "jaccard-nodes"
     )
     met = skew_join(paths, nodes, ["tree", "key"], "members")
     blocks = F.ceil(F.col("members") / block).cast("int")
-    dealt = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = dealt.select(
-        "doc_id",
+        "row",
         "tree",
         "key",
         F.least("block", "with").alias("low"),
@@ -321,42 +332,62 @@ def jaccard_classes(
     size = reps.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("s")).first()["s"]
     groups = max(LEAST_GROUPS, math.ceil(size / GROUP_BYTES))
     by_unit = F.pmod(F.xxhash64("tree", "key", "low", "high"), F.lit(groups)).cast("int").alias("pid")
-    slim_rows = units.join(reps.select("doc_id", "n_shingles", "keys"), "doc_id").withColumn("pid", by_unit)
+    slim_rows = units.join(reps.select("row", "n_shingles", "keys"), "row").withColumn("pid", by_unit)
     needed = slim_rows.groupBy("pid").applyInArrow(
-        arrow.giving_back(lambda key, t: _needed(t, threshold)), "doc_id long, tree int, key long, low int, high int, block int"
+        arrow.giving_back(lambda key, t: _needed(t, threshold)), "row long, tree int, key long, low int, high int, block int"
     )
     needed = stage_table(needed.distinct(), "jaccard-needed")
-    wanted = needed.groupBy("doc_id").agg(F.collect_list(F.struct("tree", "key", "low", "high", "block")).alias("units"))
-    full = slim.join(wanted.hint("shuffle_hash"), "doc_id").join(reps.select("doc_id", "n", "keys"), "doc_id")
-    full = full.select("doc_id", "n", "keys", "text", F.explode("units").alias("u")).select(
-        "doc_id", "n", "keys", "text", "u.*"
+    wanted = needed.groupBy("row").agg(F.collect_list(F.struct("tree", "key", "low", "high", "block")).alias("units"))
+    full = slim.join(wanted.hint("shuffle_hash"), "row").join(reps.select("row", "n", "keys"), "row")
+    full = full.select("row", "n", "keys", "text", F.explode("units").alias("u")).select(
+        "row", "n", "keys", "text", "u.*"
     )
     verified = full.withColumn("pid", by_unit).groupBy("pid").applyInArrow(
-        arrow.giving_back(lambda key, t: _verify(t, threshold, shingle)), "doc_id long, links long, root long"
+        arrow.giving_back(lambda key, t: _verify(t, threshold, shingle)), "row long, links long, root long"
     )
     verified = stage_table(verified, "jaccard-links")
-    links = verified.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    grown = components(verified.filter("root < doc_id").select(F.col("doc_id").alias("u"), F.col("root").alias("v")))
+    links = verified.groupBy("row").agg(F.sum("links").alias("links"))
+    grown = components(verified.filter("root < row").select(F.col("row").alias("u"), F.col("root").alias("v")))
     of_set = (
-        sets.join(links.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        .join(grown.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left")
-        .select("shingles", "n", F.coalesce("top", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        sets.withColumn("row", F.col("first.row"))
+        .join(links, "row", "left")
+        .join(grown.select(F.col("u").alias("row"), F.col("v").alias("top")), "row", "left")
+        .select("shingles", "n", "first", F.coalesce("top", "row").alias("top"), F.coalesce("links", F.lit(0)).alias("links"))
+    )
+    of_set = stage_table(of_set, "jaccard-linked-sets")
+    heads = stage_table(
+        of_set.groupBy("top").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("n_sets")), "jaccard-heads"
+    )
+    of_set = skew_join(of_set, heads, ["top"], "n_sets").select(
+        "shingles", "n", "links", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("stays")
     )
     of_set = stage_table(of_set, "jaccard-classes")
-    out = skew_join(known.select("doc_id", "shingles"), of_set, ["shingles"], "n").select(
+    out = skew_join(known.select("row", "doc_id", "shingles"), of_set, ["shingles"], "n").select(
+        "row",
         "doc_id",
         "class_id",
         (F.col("links") + F.col("n") - 1).alias("n_links"),
         F.col("n").alias("n_copies"),
+        "stays",
     )
-    alone = signed.filter("n_shingles = 0 or doc_id is null").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies")
+    alone = signed.filter(~searched).select(
+        "row",
+        "doc_id",
+        F.col("doc_id").alias("class_id"),
+        F.lit(0).cast("long").alias("n_links"),
+        F.lit(1).cast("long").alias("n_copies"),
+        F.col("row").alias("stays"),
     )
     return out.unionByName(alone)
 
 
-def near_dedup(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id; rows with a null id stay."""
-    id_col = options.get("id_col", "doc_id")
-    gone = jaccard_classes(docs, **options).filter("class_id < doc_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), docs[id_col] == F.col("__gone"), "left_anti")
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest id; the columns stay as they are. Rows are removed by their
+    own number, so rows that share an id go or stay each by its text. Rows with a null id stay; with ``null_ids`` they are
+    searched too, and any id goes before a null one."""
+    rows = stage_table(docs.withColumn("__row", F.monotonically_increasing_id()), "near-documents")
+    slim = rows.select(
+        F.col("__row").alias("row"), rows[id_col].cast("long").alias("doc_id"), rows[text_col].alias("text")
+    )
+    gone = _classes(slim, **options).filter("row <> stays").select(F.col("row").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)

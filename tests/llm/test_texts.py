@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -91,6 +92,30 @@ def test_near_dedup_keeps_one_of_each(spark, odd):
     assert jaccard.near_dedup(ids).count() == 3
 
 
+def test_near_copies_of_null_and_repeated_ids(spark):
+    def near(seed, change):
+        w = cases.prose(seed, 100).split()
+        return " ".join([*w[:50], *change, *w[51:]])
+
+    rows = [
+        (1, near(1, ["a"])), (5, near(2, ["a"])), (5, near(1, ["b"])), (5, near(3, ["a"])), (6, near(3, ["b"])),
+        (7, near(2, ["b"])), (5, near(2, ["c"])), (None, near(3, ["c"])), (None, near(4, ["a"])), (None, near(4, ["b"])),
+        (None, None), (None, near(6, ["a"])), (5, near(7, ["a"])), (5, ""),
+    ]
+    docs = cases.frame(spark, [cases.row(*r) for r in rows])
+    classes = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs).collect()), key=str)
+    ids = [(1, 1, 1), (5, 1, 1), (5, 5, 2), (5, 5, 2), (7, 5, 2), (5, 5, 1), (6, 5, 1), (5, 5, 0), (5, 5, 0)]
+    assert classes == sorted([*ids, *[(None, None, 0)] * 5], key=str)
+    kept = jaccard.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == {1: 1, 5: 4, None: 5}
+    full = jaccard.near_dedup(docs, null_ids=True).collect()
+    assert Counter(r["doc_id"] for r in full) == {1: 1, 5: 4, None: 3}
+    assert {r["text"] for r in full} >= {rows[0][1], rows[3][1], rows[11][1], rows[12][1], "", None}
+    assert len({r["text"] for r in full} & {rows[8][1], rows[9][1]}) == 1
+    assert len({r["text"] for r in full} & {rows[1][1], rows[6][1]}) == 1
+
+
 def test_prefix_length():
     assert jaccard.prefix_length(0.8, 24, 8, 0.9999) == 5
     assert 1 - (1 - 0.8**5) ** 24 >= 0.9999 > 1 - (1 - 0.8**6) ** 24
