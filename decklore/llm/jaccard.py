@@ -1,14 +1,17 @@
 """N-gram Jaccard join: a MinHash LSH forest, followed by exact verification.
 
-Documents with the same set of shingles are one class with one representative. A representative's signature is TREES
-short rows of MinHashes, each a path in one of as many prefix tries. Two representatives are candidates where paths share
-a prefix. The prefix starts at DEPTH and is shortened until the chance to miss a pair at the threshold, in all tries, is
-below what the target recall allows.
+Documents with the same set of shingles are one class with one representative. A representative's signature is TREES paths
+of DEPTH MinHashes, each a leaf in one of as many prefix tries; a node of a trie is a prefix, LEAST levels long at least.
+
+Each document shortens its own prefixes, from whole paths on: level by level in all tries whose next node isn't crowded, and
+only if that isn't enough in crowded ones too, until the bound on its recall, one less the product over the tries of
+1 - threshold^length, reaches the target. A document meets all that share its prefix in some trie, however long theirs are,
+so a link is lost only if both ends lose it. Documents with passages that many have so look for each other elsewhere.
 
 Each pair is verified in the first trie in which it meets, on the sets of shingles themselves. Nodes of a trie are worked
-on as a whole; large ones in blocks, and every two blocks meet. What leaves a task is, for each document, its number of
-links and the root of its tree of links there, so groups of near copies never turn into rows of pairs. Roots grow together
-to connected components by alternating star contractions.
+on as a whole; large ones in blocks, at most MOST_BLOCKS of a node, and every two blocks meet. What leaves a task is, for
+each document, its number of links and the root of its tree of links there, so groups of near copies never turn into rows
+of pairs. Roots grow together to connected components by alternating star contractions.
 """
 
 from __future__ import annotations
@@ -27,18 +30,37 @@ from decklore.llm.common import skew_join, stage_table
 from decklore.llm.substring import BASES, rabin_karp, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, TARGET_RECALL = 24, 8, 0.9999
-BLOCK = 512
-GROUP_BYTES, LEAST_GROUPS = 8 << 20, 64
-SIGNATURE = "row long, doc_id long, shingles binary, n_shingles int, n_bytes int, keys array<long>"
-
-
-def prefix_length(threshold: float, trees: int, depth: int, target: float) -> int:
-    """The longest prefix, at most ``depth``, with the target recall for pairs at the threshold."""
-    for k in range(depth, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= target:
-            return k
-    raise ValueError("no prefix reaches the target recall; take more trees")
+#: Tries, levels of a path, bits of a level; the shortest prefix.
+TREES, DEPTH, LEVEL_BITS, LEAST = 24, 8, 16, 4
+TARGET_RECALL = 0.9999
+#: Members from which on a node is crowded; rows of a block; blocks of a node.
+CROWD, BLOCK, MOST_BLOCKS = 512, 512, 64
+#: Bytes of a group, of a row's paths; the least number of groups.
+GROUP_BYTES, ROW_BYTES, LEAST_GROUPS = 8 << 20, 512, 64
+SIGNATURE = "row long, doc_id long, shingles binary, n_shingles int, n_bytes int, top array<long>, low array<long>"
+NODE = ["tree", "len", "key"]
+
+
+def prefix_lengths(crowded: np.ndarray, threshold: float, target: float) -> np.ndarray:
+    """crowded: documents x tries, the longest length at which the document's node is crowded (0: never). The lengths that
+    the documents end with."""
+    miss = np.log1p(-(threshold ** np.arange(DEPTH + 1, dtype=float)[1:]))  # of a trie, by length from 1 on
+    bound = math.log1p(-target)
+    if crowded.shape[1] * miss[LEAST - 1] > bound:
+        raise ValueError("no prefix reaches the target recall; take more tries")
+    length = np.full(crowded.shape, DEPTH, np.int8)
+
+    def open_() -> np.ndarray:
+        return miss[length - 1].sum(axis=1) > bound
+
+    for even_crowded in (False, True):
+        for k in range(DEPTH - 1, LEAST - 1, -1):
+            more = open_()
+            if not more.any():
+                return length
+            down = more[:, None] & (length > k) & (even_crowded | (crowded < k))
+            length[down] = k
+    return length
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -65,24 +87,24 @@ def shingle_hashes(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]
     return hashes[order], np.bincount(owner, minlength=len(column)).astype(np.int64)
 
 
-def signatures(batch: pa.RecordBatch, size: int, trees: int, prefix: int) -> pa.RecordBatch:
+def signatures(batch: pa.RecordBatch, size: int, trees: int) -> pa.RecordBatch:
+    """SIGNATURE: ``top`` has the first LEAST levels of each path, ``low`` the others, 16 bits a level."""
     column = arrow.texts(batch)
     hashes, counts = shingle_hashes(column, size)
     n = len(column)
     ends = np.cumsum(counts)
     there = np.flatnonzero(counts)
-    keys = np.zeros((len(there), trees), np.uint64)
+    paths = np.zeros((2, len(there), trees), np.uint64)
     if len(there):
         small = _mix32((hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32))
         starts = (ends - counts)[there]
         for i in range(trees):
-            path = np.full(len(there), i + 1, np.uint64)
-            for j in range(prefix):
+            for j in range(DEPTH):
                 seed = np.uint32((0x9E3779B9 * (i * 64 + j + 1)) & 0xFFFFFFFF)
                 least = np.minimum.reduceat((small ^ seed) * np.uint32(2 * (i * 64 + j) + 0x85EBCA6B), starts)
-                path = (path ^ least) * np.uint64(BASES[1])
-                path ^= path >> np.uint64(29)
-            keys[:, i] = path
+                label = _mix32(least) & np.uint32((1 << LEVEL_BITS) - 1)
+                half = paths[j // LEAST]
+                half[:, i] = (half[:, i] << np.uint64(LEVEL_BITS)) | label.astype(np.uint64)
     new = np.ones(len(hashes), bool)
     owner = np.repeat(np.arange(n), counts)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
@@ -92,7 +114,8 @@ def signatures(batch: pa.RecordBatch, size: int, trees: int, prefix: int) -> pa.
     digest = [
         xxhash.xxh3_128_digest(distinct[z - k : z].tobytes()) if k else b"" for z, k in zip(upto.tolist(), per.tolist(), strict=True)
     ]
-    offsets = np.concatenate([[0], np.cumsum(np.where(counts > 0, trees, 0))]).astype(np.int32)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(counts > 0, trees, 0))]).astype(np.int32))
+    top, low = (pa.ListArray.from_arrays(offsets, pa.array(p.reshape(-1).view(np.int64))) for p in paths)
     return pa.RecordBatch.from_arrays(
         [
             batch.column("row"),
@@ -100,56 +123,80 @@ def signatures(batch: pa.RecordBatch, size: int, trees: int, prefix: int) -> pa.
             pa.array(digest, pa.binary()),
             pa.array(per, pa.int32()),
             pa.array(pc.binary_length(column)).cast(pa.int32()),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64))),
+            top,
+            low,
         ],
-        names=["row", "doc_id", "shingles", "n_shingles", "n_bytes", "keys"],
+        names=["row", "doc_id", "shingles", "n_shingles", "n_bytes", "top", "low"],
     )
 
 
-def _first_meetings(keys: np.ndarray, tree: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """left x right: do the documents meet in ``tree``, and in none before?"""
-    new = keys[left, tree][:, None] == keys[right, tree][None, :]
-    for t in range(tree):
-        if not new.any():
-            break
-        new &= keys[left, t][:, None] != keys[right, t][None, :]
-    return new
+class Paths:
+    """The paths and lengths of the rows of a table, as matrices of rows x tries."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.top, self.low, self.len = (self._matrix(table, c) for c in ("top", "low", "lens"))
+        self.low = self.low.view(np.uint64)
+
+    @staticmethod
+    def _matrix(table: pa.Table, name: str) -> np.ndarray:
+        lists = table.column(name).combine_chunks()
+        return lists.flatten().to_numpy().reshape(len(lists), -1)
+
+    def meet(self, tree: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """left x right: do the paths share the shorter of the two prefixes?"""
+        met = self.top[left, tree][:, None] == self.top[right, tree][None, :]
+        if met.any():
+            i, j = np.nonzero(met)
+            a, b = left[i], right[j]
+            length = np.minimum(self.len[a, tree], self.len[b, tree]).astype(np.uint64)
+            # A shift by all 64 bits has no result, so by half of them twice.
+            shift = (np.uint64(DEPTH) - length) * np.uint64(LEVEL_BITS // 2)
+            differ = self.low[a, tree] ^ self.low[b, tree]
+            met[i, j] = (differ >> shift) >> shift == 0
+        return met
+
+    def first_meetings(self, tree: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """left x right: do the documents meet in ``tree``, and in none before?"""
+        new = self.meet(tree, left, right)
+        for t in range(tree):
+            if not new.any():
+                break
+            new &= ~self.meet(t, left, right)
+        return new
 
 
 def _units(table: pa.Table):
-    """The units of a group: (tree, places of rows in one block, places in the other or None for the same)."""
-    cols = [table.column(c).to_numpy() for c in ("tree", "key", "low", "high", "block")]
+    """The units of a group: (tree, length, places of rows in one block, places in the other or None for the same)."""
+    cols = [table.column(c).to_numpy() for c in (*NODE, "first", "second", "block")]
     order = np.lexsort(cols[::-1])
     if not len(order):
         return
     same = np.ones(len(order), bool)
     same[0] = False
-    for c in cols[:4]:
+    for c in cols[:5]:
         same[1:] &= c[order][1:] == c[order][:-1]
     edges = [*np.flatnonzero(~same).tolist(), len(order)]
     for a, z in zip(edges[:-1], edges[1:], strict=True):
         rows = order[a:z]
-        low, high, block = cols[2][rows[0]], cols[3][rows[0]], cols[4][rows]
-        if low == high:
-            yield int(cols[0][rows[0]]), rows, None
-        else:
-            yield int(cols[0][rows[0]]), rows[block == low], rows[block == high]
-
-
-def _keys(table: pa.Table) -> np.ndarray:
-    lists = table.column("keys").combine_chunks()
-    return lists.flatten().to_numpy().reshape(len(lists), -1)
+        at = rows[0]
+        first, second, block = cols[3][at], cols[4][at], cols[5][rows]
+        which = int(cols[0][at]), int(cols[1][at])
+        yield (*which, rows, None) if first == second else (*which, rows[block == first], rows[block == second])
 
 
-def _pairs(unit, keys: np.ndarray, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The candidates of a unit as a matrix over its two blocks; each pair once, and none whose sizes rule it out."""
-    tree, left, right = unit
+def _pairs(unit, paths: Paths, sizes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The candidates of a unit as a matrix over its two blocks: pairs whose shorter prefix is this node's, that meet in no
+    trie before, each once, and none whose sizes rule it out."""
+    tree, length, left, right = unit
     other = left if right is None else right
-    new = _first_meetings(keys, tree, left, other)
+    here = (paths.len[left, tree] == length)[:, None] | (paths.len[other, tree] == length)[None, :]
     if right is None:
-        new &= np.tri(len(left), len(left), -1, dtype=bool)
+        here &= np.tri(len(left), len(left), -1, dtype=bool)
     small, large = np.minimum(sizes[left][:, None], sizes[other]), np.maximum(sizes[left][:, None], sizes[other])
-    return left, other, new & (small >= threshold * large - 1e-9)
+    here &= small >= threshold * large - 1e-9
+    if here.any():
+        here &= paths.first_meetings(tree, left, other)
+    return left, other, here
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -192,18 +239,18 @@ def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
 
 def _needed(table: pa.Table, threshold: float) -> pa.Table:
     """The rows of units with a candidate there."""
-    keys, sizes = _keys(table), table.column("n_shingles").to_numpy().astype(np.int64)
+    paths, sizes = Paths(table), table.column("n_shingles").to_numpy().astype(np.int64)
     found = []
     for unit in _units(table):
-        left, right, new = _pairs(unit, keys, sizes, threshold)
+        left, right, new = _pairs(unit, paths, sizes, threshold)
         found += [left[new.any(axis=1)], right[new.any(axis=0)]]
     rows = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    return table.take(pa.array(rows, pa.int64())).select(["row", "tree", "key", "low", "high", "block"])
+    return table.take(pa.array(rows, pa.int64())).select(["row", *NODE, "first", "second", "block"])
 
 
 def _verify(table: pa.Table, threshold: float, size: int) -> pa.Table:
     """For each row with a link in its unit: row, links (documents, not representatives), root."""
-    keys = _keys(table)
+    paths = Paths(table)
     ids, weights = table.column("row").to_numpy(), table.column("n").to_numpy()
     # A document may be in several units; its set is made once.
     distinct, first, place = np.unique(ids, return_index=True, return_inverse=True)
@@ -212,7 +259,7 @@ def _verify(table: pa.Table, threshold: float, size: int) -> pa.Table:
     sizes = np.array([len(s) for s in sets], np.int64)[place]
     out: list[tuple[int, int, int]] = []
     for unit in _units(table):
-        left, right, new = _pairs(unit, keys, sizes, threshold)
+        left, right, new = _pairs(unit, paths, sizes, threshold)
         if not new.any():
             continue
         shared = _shared([sets[place[i]] for i in left], [sets[place[i]] for i in right])
@@ -285,6 +332,66 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _classes(slim, **options).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def _node(length) -> list:
+    """tree, len and key of the node of a path at a length; keys of different prefixes may be equal, which costs a look."""
+    shift = F.lit(LEVEL_BITS) * (F.lit(DEPTH) - length)
+    low = F.when(shift < 64, F.call_function("shiftrightunsigned", F.col("low"), shift.cast("int"))).otherwise(F.lit(0))
+    return [F.col("tree"), length.cast("int").alias("len"), F.xxhash64("top", low).alias("key")]
+
+
+def forest(reps: DataFrame, threshold: float, target: float, crowd: int, trees: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes in which documents meet, as staged (row, tree, len, key, members), and ``reps`` with ``lens``, the length of
+    each prefix.
+
+    A document is in the node of its own prefix, and in those above it that are another document's own. Those alone in a trie
+    at the shortest length drop out of it before any longer prefix is looked at.
+    """
+    paths = reps.select("row", F.posexplode(F.arrays_zip("top", "low")).alias("tree", "p")).select("row", "tree", "p.top", "p.low")
+    near = stage_table(
+        paths.groupBy("tree", "top").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "jaccard-shortest"
+    )
+    near = stage_table(skew_join(paths, near, ["tree", "top"], "members"), "jaccard-near")
+    level = F.explode(F.sequence(F.lit(LEAST), F.lit(DEPTH))).alias("at")
+    levels = near.filter(F.col("members") > crowd).select("row", "tree", "top", "low", level).select("row", *_node(F.col("at")))
+    crowded = levels.groupBy(*NODE).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > crowd)
+    crowded = skew_join(levels, stage_table(crowded, "jaccard-crowded"), NODE, "members")
+    deepest = crowded.groupBy("row", "tree").agg(F.max("len").alias("len"))
+    deepest = deepest.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("tree", "len"))).alias("crowded"))
+
+    def lengths(batches):
+        for batch in batches:
+            seen = np.zeros((batch.num_rows, trees), np.int8)
+            for i, known in enumerate(batch.column("crowded").to_pylist()):
+                for tree, length in known or ():
+                    seen[i, tree] = length
+            lens = prefix_lengths(seen, threshold, target)
+            offsets = pa.array(np.arange(0, lens.size + 1, trees, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.ListArray.from_arrays(offsets, pa.array(lens.reshape(-1)))], names=["row", "lens"]
+            )
+
+    own = stage_table(deepest.mapInArrow(lengths, "row long, lens array<tinyint>"), "jaccard-lengths")
+    usual = F.array(*[F.lit(int(k)).cast("tinyint") for k in prefix_lengths(np.zeros((1, trees)), threshold, target)[0]])
+    reps = stage_table(
+        reps.join(own, "row", "left").withColumn("lens", F.coalesce("lens", usual)), "jaccard-prefixes"
+    )
+    placed = near.join(reps.select("row", "lens"), "row").withColumn("own", F.get("lens", F.col("tree")).cast("int"))
+    placed = placed.select("row", "tree", "top", "low", "own", F.explode(F.sequence(F.lit(LEAST), F.col("own"))).alias("at"))
+    placed = stage_table(placed.select("row", (F.col("at") == F.col("own")).alias("asks"), *_node(F.col("at"))), "jaccard-placed")
+    nodes = placed.groupBy(*NODE).agg(F.count(F.lit(1)).alias("members"), F.count_if("asks").alias("askers"))
+    nodes = stage_table(nodes.filter("members > 1 and askers > 0").drop("askers"), "jaccard-nodes")
+    return stage_table(skew_join(placed.drop("asks"), nodes, NODE, "members"), "jaccard-met"), reps
+
+
+def unit_rows(met: DataFrame, block: int) -> DataFrame:
+    """Members of nodes, dealt into blocks of about ``block``, larger where there would be too many, once for each block that
+    theirs meets."""
+    blocks = F.least(F.ceil(F.col("members") / block), F.lit(MOST_BLOCKS)).cast("int")
+    dealt = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("row", *NODE, F.least("block", "with").alias("first"), F.greatest("block", "with").alias("second"), "block")
+
+
 def _classes(
     slim: DataFrame,
     threshold: float = THRESHOLD,
@@ -292,18 +399,19 @@ def _classes(
     trees: int = TREES,
     target_recall: float = TARGET_RECALL,
     block: int = BLOCK,
+    crowd: int = CROWD,
     null_ids: bool = False,
 ) -> DataFrame:
     """What ``jaccard_classes`` says of staged (row, doc_id, text), with each row's number, and that of the row that stays
     of its class: the one of the smallest id, then of the smallest number. Rows are told apart by number alone."""
-    prefix = prefix_length(threshold, trees, DEPTH, target_recall)
+    prefix_lengths(np.zeros((1, trees)), threshold, target_recall)  # can the target be met?
     searched = F.col("n_shingles") > 0
     if not null_ids:
         searched = searched & F.col("doc_id").isNotNull()
 
     def sign(batches):
         for step in arrow.steps(batches):
-            yield signatures(step, shingle, trees, prefix)
+            yield signatures(step, shingle, trees)
 
     signed = stage_table(slim.mapInArrow(sign, SIGNATURE), "jaccard-signatures")
     known = signed.filter(searched)
@@ -312,37 +420,27 @@ def _classes(
         known.groupBy("shingles").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "jaccard-sets"
     )
     reps = known.join(sets.select(F.col("first.row").alias("row"), "n"), "row")
-    reps = stage_table(reps.select("row", "n", "n_shingles", "n_bytes", "keys"), "jaccard-representatives")
-    paths = reps.select("row", F.posexplode("keys").alias("tree", "key"))
-    nodes = stage_table(
-        paths.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "jaccard-nodes"
-    )
-    met = skew_join(paths, nodes, ["tree", "key"], "members")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    dealt = met.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select(
-        "row",
-        "tree",
-        "key",
-        F.least("block", "with").alias("low"),
-        F.greatest("block", "with").alias("high"),
-        "block",
-    )
-    size = reps.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("s")).first()["s"]
-    groups = max(LEAST_GROUPS, math.ceil(size / GROUP_BYTES))
-    by_unit = F.pmod(F.xxhash64("tree", "key", "low", "high"), F.lit(groups)).cast("int").alias("pid")
-    slim_rows = units.join(reps.select("row", "n_shingles", "keys"), "row").withColumn("pid", by_unit)
+    reps = stage_table(reps.select("row", "n", "n_shingles", "n_bytes", "top", "low"), "jaccard-representatives")
+    met, reps = forest(reps, threshold, target_recall, crowd, trees)
+    units = unit_rows(met, block)
+    size = units.join(reps.select("row", "lens"), "row").count()  # rows of some 500 bytes
+    groups = max(LEAST_GROUPS, math.ceil(size * ROW_BYTES / GROUP_BYTES))
+    where = lambda n: F.pmod(F.xxhash64(*NODE, "first", "second"), F.lit(n)).cast("int").alias("pid")
+    slim_rows = units.join(reps.select("row", "n_shingles", "top", "low", "lens"), "row").withColumn("pid", where(groups))
+    unit = "tree int, len int, key long, first int, second int, block int"
     needed = slim_rows.groupBy("pid").applyInArrow(
-        arrow.giving_back(lambda key, t: _needed(t, threshold)), "row long, tree int, key long, low int, high int, block int"
+        arrow.giving_back(lambda key, t: _needed(t, threshold)), f"row long, {unit}"
     )
     needed = stage_table(needed.distinct(), "jaccard-needed")
-    wanted = needed.groupBy("row").agg(F.collect_list(F.struct("tree", "key", "low", "high", "block")).alias("units"))
-    full = slim.join(wanted.hint("shuffle_hash"), "row").join(reps.select("row", "n", "keys"), "row")
-    full = full.select("row", "n", "keys", "text", F.explode("units").alias("u")).select(
-        "row", "n", "keys", "text", "u.*"
-    )
-    verified = full.withColumn("pid", by_unit).groupBy("pid").applyInArrow(
+    # Groups are as many as the text asks for, each row's as often as it is repeated.
+    size = needed.join(reps.select("row", "n_bytes"), "row").agg(F.coalesce(F.sum(F.col("n_bytes") + ROW_BYTES), F.lit(0)).alias("s")).first()["s"]
+    groups = max(LEAST_GROUPS, math.ceil(size / GROUP_BYTES))
+    columns = [*NODE, "first", "second", "block"]
+    wanted = needed.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("units"))
+    full = slim.select("row", "text").join(wanted.hint("shuffle_hash"), "row").join(reps.select("row", "n", "top", "low", "lens"), "row")
+    full = full.select("row", "n", "top", "low", "lens", "text", F.explode("units").alias("u"))
+    full = full.select("row", "n", "top", "low", "lens", "text", "u.*")
+    verified = full.withColumn("pid", where(groups)).groupBy("pid").applyInArrow(
         arrow.giving_back(lambda key, t: _verify(t, threshold, shingle)), "row long, links long, root long"
     )
     verified = stage_table(verified, "jaccard-links")

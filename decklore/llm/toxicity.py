@@ -1,12 +1,17 @@
 """Toxicity by compression distance.
 
-Text of either class trains a zstandard dictionary: segments (words) that the class has in far more documents than the
-other, in front of a body of words common to both. The body lies at the same place in both dictionaries, so a window of
-text compresses to different lengths only where it meets segments of a class. A strict and a wide pair of dictionaries
-give each window two differences in bytes; a document's differences go through a logistic calibration to a score.
-
-The dictionaries and the calibration are fitted on a bounded sample of labelled rows (TRAIN_TOXIC, TRAIN_ORDINARY: the
-documents with the lowest digests of their ids). Scoring is a map over whole texts.
+Either class has a zstandard dictionary, trained by the library on text of that class, in front of a body trained on
+ordinary text. The body lies at the same place in both, so a window of text compresses to different lengths only where it
+meets what one class says and the other doesn't. A document's differences go through a logistic calibration to a score.
+
+What a class's dictionary is trained on is itself found by compression distance: both classes' texts are dealt into pieces
+of equal size, each piece is a raw dictionary, and a span (a word, or a few letters of a script without spaces) belongs to
+the class whose pieces compress it to shorter lengths than the other's pieces do, by a margin in bytes, in standard errors
+and in the share of pieces that know it at all. The rest is language that both classes have; trained on it too, the two
+dictionaries would differ by chance alone.
+
+Dictionaries and calibration are fitted on a bounded sample of labelled rows: the TRAIN_TOXIC and TRAIN_ORDINARY documents
+with the lowest digests of their ids, of those with at most TRAIN_BYTES bytes. Scoring is a map over whole texts.
 """
 
 from __future__ import annotations
@@ -26,47 +31,57 @@ from pyspark.sql import functions as F
 from decklore.llm import arrow
 from decklore.llm.common import hex_bits
 
-TRAIN_TOXIC, TRAIN_ORDINARY = 1500, 4500
-WINDOW, THRESHOLD = 192, 0.7
-BODY_BYTES, CLASS_BYTES = 16384, 8192
-MATCH, FOLDS = 6, 4
+#: The bounds of the labelled sample: documents of either class, bytes of one document.
+TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_BYTES = 1500, 4500, 32 << 10
+WINDOW, THRESHOLD, FOLDS = 192, 0.7, 4
+#: Sizes of a class's dictionary and of the common body; the shortest match; pieces of a class and documents in one.
+CLASS_BYTES, BODY_BYTES, MATCH, MOST_PIECES, PIECE_DOCS = 4096, 16384, 6, 32, 16
+#: What makes a span a class's own: bytes, standard errors, ratio of the shares of pieces; the least share of documents.
+LEAST_GAIN, LEAST_Z, LEAST_LIFT, LEAST_SHARE = 0.5, 4.0, 2.0, 0.01
+#: Windows of ordinary text whose difference a strong window exceeds.
+STRONG = 0.99
+LONG_SPAN, BODY_WINDOWS = 24, 4000
+#: No text has this run; a span is compressed between its halves, as zstandard leaves shorter input as it is.
+CARRIER = b"QXJZKVWQZXVKJWXQZKVJQWZXKJVZQXWKJZVQKXWJVZQKXJWZQVKXJZWQ" + b"KZXQWVJZKQXVWJKZQXJVKWZQ"
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-@dataclass(frozen=True)
-class Tier:
-    """What a segment must meet: significance, ratio of the classes' document shares, share in its own class."""
-
-    z: float
-    lift: float
-    share: float
-
-
-TIERS = (Tier(8.0, 10.0, 0.02), Tier(6.0, 8.0, 0.012))
+def compressor(content: bytes, thorough: bool = False) -> zstandard.ZstdCompressor:
+    """With ``content`` as raw dictionary. A thorough one takes the best of many matches, so chance ones hardly tell."""
+    made = zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_LAZY2 if thorough else zstandard.STRATEGY_FAST,
+        min_match=MATCH,
+        hash_log=17,
+        chain_log=17,
+        search_log=6,
+        window_log=17,
+        target_length=16 if thorough else 1,
+        write_content_size=False,
+        write_dict_id=False,
+    )
+    raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(compression_params=made, dict_data=raw)
 
 
 @dataclass
 class Model:
-    pairs: list[tuple[bytes, bytes]]
+    toxic: bytes
+    ordinary: bytes
+    #: The difference of a window, in bytes, from which on it is strong, for either pair of compressors.
+    strong: list[float]
     weights: list[float]
-    window: int = WINDOW
-
-    def compressors(self) -> list[tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]]:
-        made = zstandard.ZstdCompressionParameters(
-            strategy=zstandard.STRATEGY_FAST,
-            min_match=MATCH,
-            hash_log=17,
-            chain_log=16,
-            window_log=17,
-            target_length=1,
-            write_content_size=False,
-            write_dict_id=False,
-        )
-        load = lambda d: zstandard.ZstdCompressor(
-            compression_params=made,
-            dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-        )
-        return [(load(a), load(b)) for a, b in self.pairs]
+
+    def score(self, text: str, pairs: Pairs) -> float:
+        x = features(differences(text, pairs), self.strong) @ np.array(self.weights)
+        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+
+
+#: (toxic, ordinary) compressors, fast and thorough.
+Pairs = list[tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]]
+
+
+def loaded(toxic: bytes, ordinary: bytes) -> Pairs:
+    return [(compressor(toxic, t), compressor(ordinary, t)) for t in (False, True)]
 
 
 def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
@@ -84,63 +99,100 @@ def _clean(text: str) -> bytes:
     return b" " + b" ".join(text.lower().encode("utf-8", "replace").split()) + b" "
 
 
-def features(text: str, pairs: list, size: int) -> list[float]:
-    pieces = windows(_clean(text), size)
-    row = [1.0, math.log(max(1, len(pieces)))]
-    for toxic, ordinary in pairs:
-        d = np.array([len(ordinary.compress(p)) - len(toxic.compress(p)) for p in pieces] or [0])
-        top = np.sort(d)[::-1]
-        strong = int((d >= 4).sum())
-        row += [top[0] / 8, top[:3].clip(0).mean() / 8, strong / len(d), math.sqrt(strong)]
-    return row
+def differences(text: str, pairs: Pairs) -> list[np.ndarray]:
+    """For each pair and window, by how many bytes the toxic dictionary makes the window shorter than the ordinary one."""
+    cut = windows(_clean(text))
+    return [np.array([len(o.compress(w)) - len(t.compress(w)) for w in cut], float) for t, o in pairs]
+
+
+def features(found: list[np.ndarray], strong: list[float]) -> np.ndarray:
+    out = [1.0, math.log(len(found[0]))]
+    for d, least in zip(found, strong, strict=True):
+        top, n, m = np.sort(d)[::-1], int((d >= least).sum()), int((d <= -least).sum())
+        out += [top[0] / 8, top[:3].mean() / 8, d.mean() / 4, d.clip(0).sum() / math.sqrt(len(d)) / 8]
+        out += [n / len(d), math.sqrt(n), math.sqrt(m)]
+    return np.array(out)
+
+
+def novel(texts: list[bytes]) -> list[bytes]:
+    """The texts without words in runs of five that an earlier text has: a passage that documents of one class share isn't
+    that class's language."""
+    seen, out = set(), []
+    for text in texts:
+        words, gone = text.split(), set()
+        for j in range(len(words) - 4):
+            run = zlib.crc32(b" ".join(words[j : j + 5]))
+            if run in seen:
+                gone.update(range(j, j + 5))
+            seen.add(run)
+        own = [w for j, w in enumerate(words) if j not in gone]
+        if own:
+            out.append(b" " + b" ".join(own) + b" ")
+    return out
 
 
-def _segments(own: Counter, n_own: int, other: Counter, n_other: int, tier: Tier) -> list[bytes]:
-    found = []
-    for word, n in own.items():
-        if n < 3 or len(word) + 2 < MATCH:
-            continue
-        m = other.get(word, 0)
-        p, q = (n + 0.5) / (n_own + 1), (m + 0.5) / (n_other + 1)
-        pooled = (n + m + 1) / (n_own + n_other + 2)
-        z = (p - q) / math.sqrt(pooled * (1 / n_own + 1 / n_other))
-        if z >= tier.z and p >= tier.lift * q and p >= tier.share:
-            found.append((z, word))
-    found.sort(reverse=True)
-    out, size = [], 0
-    for _, word in found:
-        size += len(word) + 1
-        if size > CLASS_BYTES:
-            break
-        out.append(word)
-    return out[::-1]  # the best last, nearest to the text
-
-
-def _train(rows: list[tuple[str, int]], share: float = 1.0) -> list[tuple[bytes, bytes]] | None:
-    """The pairs of dictionaries. Near copies of earlier rows don't count, as a passage of one class would look like its
-    vocabulary. share: of all rows that these are; significance asks for less where there are fewer."""
-    counts, seen, used = (Counter(), Counter()), set(), [0, 0]
-    for text, label in rows:
-        words = _clean(text).split()
-        sketch = {h for i in range(max(1, len(words) - 4)) if (h := zlib.crc32(b" ".join(words[i : i + 5]))) % 8 == 0}
-        if sketch and 4 * len(sketch & seen) > len(sketch):
+def spans(text: bytes) -> set[bytes]:
+    """The text's words with a space on either side; of longer ones all runs of four letters, eight in ASCII."""
+    out = set()
+    for word in text.split():
+        spaced = b" " + word + b" "
+        if len(spaced) <= LONG_SPAN:
+            out.add(spaced)
             continue
-        seen |= sketch
-        used[label] += 1
-        counts[label].update(set(words))
-    if not used[0] or not used[1]:
+        letters = word.decode("utf-8", "replace")
+        size = 8 if letters.isascii() else 4
+        out.update(letters[i : i + size].encode() for i in range(len(letters) - size + 1))
+    return {s for s in out if len(s) >= MATCH}
+
+
+def _lengths(found: list[bytes], pieces: list[bytes]) -> np.ndarray:
+    """pieces x spans: the bytes that a span in the carrier takes with a piece as dictionary."""
+    half, out = len(CARRIER) // 2, np.empty((len(pieces), len(found)))
+    for i, piece in enumerate(pieces):
+        zip_ = compressor(piece + CARRIER)
+        out[i] = [len(zip_.compress(CARRIER[:half] + s + CARRIER[half:])) for s in found]
+    return out
+
+
+def own_spans(texts: list[bytes], mine: list[bytes], other: list[bytes]) -> set[bytes]:
+    """The spans of texts of a class that its pieces compress better than the other's."""
+    count = Counter(s for text in texts for s in spans(text))
+    found = sorted(s for s, n in count.items() if n >= max(2, LEAST_SHARE * len(texts)))
+    if not found:
+        return set()
+    a, b, plain = _lengths(found, mine), _lengths(found, other), _lengths(found, [b""])
+    gain = b.mean(axis=0) - a.mean(axis=0)
+    z = gain / np.sqrt((a.var(axis=0) + b.var(axis=0) + 0.05) / len(mine))
+    known, known_there = (a < plain).mean(axis=0), (b < plain).mean(axis=0)
+    good = (gain >= LEAST_GAIN) & (z >= LEAST_Z) & (known >= LEAST_LIFT * (known_there + 1 / len(mine)))
+    return {s for s, ok in zip(found, good.tolist(), strict=True) if ok}
+
+
+def trained(samples: list[bytes], size: int, k: int, d: int) -> bytes:
+    """A dictionary of the library's trainer; too little text to train on is its own dictionary."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
+
+
+def train(rows: list[tuple[str, int]]) -> tuple[bytes, bytes] | None:
+    """The toxic and the ordinary dictionary; None where a class is missing."""
+    toxic, ordinary = (novel([_clean(text) for text, label in rows if label == y]) for y in (1, 0))
+    if not toxic or not ordinary:
         return None
-    pairs = []
-    for tier in (Tier(t.z * math.sqrt(share), t.lift, t.share) for t in TIERS):
-        toxic = _segments(counts[1], used[1], counts[0], used[0], tier)
-        ordinary = _segments(counts[0], used[0], counts[1], used[1], tier)
-        own = {*toxic, *ordinary}
-        both = sorted((counts[0] + counts[1]).items(), key=lambda x: (-x[1], x[0]))
-        body = b" " + b" ".join([w for w, _ in both[:4000] if w not in own][::-1])[-BODY_BYTES:] + b" "
-        room = max(sum(len(w) + 1 for w in s) + 2 for s in (toxic, ordinary))
-        front = lambda s: (b" " * room + b" " + b" ".join(s) + b" ")[-room:]  # noqa: E731, B023
-        pairs.append((front(toxic) + body, front(ordinary) + body))
-    return pairs
+    n = min(MOST_PIECES, max(2, min(len(toxic), len(ordinary)) // PIECE_DOCS))
+    size = min(64 << 10, min(sum(map(len, toxic)), sum(map(len, ordinary))) // n)
+    dealt = [[b"".join(texts[i::n])[:size] for i in range(n)] for texts in (toxic, ordinary)]
+    parts = []
+    for texts, mine, other in ((toxic, *dealt), (ordinary, *dealt[::-1])):
+        own = own_spans(texts, mine, other)
+        samples = [b"".join(sorted(found)) for text in texts if (found := spans(text) & own)]
+        parts.append(trained(samples, CLASS_BYTES, 16, MATCH) if samples else b"")
+    some = [w for text in ordinary for w in windows(text)]
+    body = trained(some[:: max(1, len(some) // BODY_WINDOWS)], BODY_BYTES, 64, 8)
+    room = max(map(len, parts))
+    return tuple(b" " * (room - len(p)) + p + body for p in parts)
 
 
 def fit(rows: list[tuple[str, int]]) -> Model | None:
@@ -148,34 +200,37 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
 
     The calibration sees each row through dictionaries that weren't trained on it.
     """
-    pairs = _train(rows)
-    if pairs is None:
+    pair = train(rows)
+    if pair is None:
         return None
-    model, x, y = Model(pairs, []), [], []
+    seen, y = [], []
     for fold in range(FOLDS):
-        others = [r for i, r in enumerate(rows) if i % FOLDS != fold]
-        loaded = Model(_train(others, 1 - 1 / FOLDS) or pairs, []).compressors()
-        x += [features(text, loaded, model.window) for text, _ in rows[fold::FOLDS]]
+        pairs = loaded(*(train([r for i, r in enumerate(rows) if i % FOLDS != fold]) or pair))
+        seen += [differences(text, pairs) for text, _ in rows[fold::FOLDS]]
         y += [label for _, label in rows[fold::FOLDS]]
-    x, y, w = np.array(x), np.array(y, float), np.zeros(len(x[0]))
+    y = np.array(y, float)
+    calm = [d for d, label in zip(seen, y, strict=True) if not label]
+    strong = [float(np.quantile(np.concatenate([d[k] for d in calm]), STRONG)) + 1 for k in range(2)]
+    strong = [max(1.0, s) for s in strong]
+    x = np.array([features(d, strong) for d in seen])
+    w = np.zeros(len(x[0]))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
         w += np.linalg.solve(hessian, x.T @ (y - p) - 0.1 * w)
-    model.weights = [float(v) for v in w]
-    return model
+    return Model(*pair, strong, [float(v) for v in w])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, n_toxic: int, n_ordinary: int) -> list[tuple[str, int]]:
-    """At most n_toxic + n_ordinary labelled texts, those whose ids have the lowest digests; doc_id, text; doc_id, toxic."""
+    """At most n_toxic + n_ordinary labelled texts, those whose ids have the lowest digests, of at most TRAIN_BYTES each;
+    doc_id, text; doc_id, toxic."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = hex_bits(F.col("doc_id"))
-    chosen = known.filter("toxic = 1").orderBy(order).limit(n_toxic)
-    chosen = chosen.unionByName(known.filter("toxic = 0").orderBy(order).limit(n_ordinary))
-    # At most n_toxic + n_ordinary rows are broadcast and come back, one for each id.
-    found = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(
-        F.first(F.coalesce("text", F.lit(""))).alias("text")
-    )
+    chosen = known.filter("toxic = 1").orderBy(order, "doc_id").limit(n_toxic)
+    chosen = chosen.unionByName(known.filter("toxic = 0").orderBy(order, "doc_id").limit(n_ordinary))
+    # At most n_toxic + n_ordinary rows are broadcast and come back, one for each id, each of bounded size.
+    short = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= TRAIN_BYTES)
+    found = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in found.collect())
     return [(text, int(toxic)) for _, text, toxic in rows]
 
@@ -186,21 +241,19 @@ def toxicity_scores(
     """One row for each row of ``docs`` (doc_id, text): SCHEMA.
 
     Learns from ``labels`` (doc_id, toxic) of ids whose CRC-32 (of the id as text) mod 3 is not 1; the other rows are
-    held out. Only texts enter a score. A null or empty text has the score of a text without any segment. Without
+    held out. Only texts enter a score. A null or empty text has the score of a text without any difference. Without
     labelled rows of both classes every score is 0. A null id is not held out. Several labels of one id count as toxic if
-    one does. Repeated rows score alike; an empty table gives an empty result.
+    one does; of several texts of a labelled id the least is learnt from. Repeated rows score alike; an empty table gives
+    an empty result.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     slim = docs.select(F.col("doc_id").cast("long"), "text")
     model = fit(training_rows(slim, labels.select("doc_id", "toxic").filter(~held), n_toxic, n_ordinary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded = model.compressors() if model else []
+        pairs = loaded(model.toxic, model.ordinary) if model else None
         for step in arrow.steps(batches):
-            score = np.zeros(step.num_rows)
-            if model:
-                x = np.array([features(t, loaded, model.window) for t in arrow.texts(step).to_pylist()])
-                score = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
+            score = np.array([model.score(t, pairs) if model else 0.0 for t in arrow.texts(step).to_pylist()], float)
             yield pa.RecordBatch.from_arrays(
                 [
                     step.column("doc_id"),

@@ -71,13 +71,13 @@ def test_rabin_karp():
         assert substring.sliding_min(words, size)[0] == words[:size].min()
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_near_copies(spark, odd, empty, sf, block):
+@pytest.mark.parametrize(("block", "crowd"), [(512, 512), (3, 4)])
+def test_near_copies(spark, odd, empty, sf, block, crowd):
     rows = [(r[0], r[1]) for r in cases.odd_rows()] + table_rows(spark, sf)
     base = cases.prose(8, 120).split()
     rows += [(5000 + i, " ".join(base[:i] + ["new"] + base[i + 1 :])) for i in range(0, 120, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs, block=block).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs, block=block, crowd=crowd).collect()}
     assert got == cases.near_classes(rows)
     assert got[5006][1] >= 10
     assert jaccard.jaccard_classes(empty).count() == 0
@@ -116,11 +116,39 @@ def test_near_copies_of_null_and_repeated_ids(spark):
     assert len({r["text"] for r in full} & {rows[1][1], rows[6][1]}) == 1
 
 
-def test_prefix_length():
-    assert jaccard.prefix_length(0.8, 24, 8, 0.9999) == 5
-    assert 1 - (1 - 0.8**5) ** 24 >= 0.9999 > 1 - (1 - 0.8**6) ** 24
+def test_prefix_lengths():
+    none = np.zeros((1, 24))
+    assert jaccard.prefix_lengths(none, 0.8, 0.9999).tolist() == [[5] * 24]
+    assert jaccard.prefix_lengths(none, 0.8, 0.98).tolist() == [[8] * 24]
+    # Crowded up to length 6 in half of the tries: those stay at 7, and the others go on to 4.
+    half = jaccard.prefix_lengths(np.array([[6] * 12 + [0] * 12]), 0.8, 0.9998)[0].tolist()
+    assert half == [7] * 12 + [4] * 12
+    # Crowded everywhere: all are shortened, as the target must be met.
+    assert jaccard.prefix_lengths(np.full((1, 24), 8), 0.8, 0.9999).tolist() == [[5] * 24]
+    rng = np.random.default_rng(1)
+    some = jaccard.prefix_lengths(rng.integers(4, 9, (200, 24)) * (rng.random((200, 24)) < 0.6), 0.8, 0.9999)
+    assert (np.log1p(-(0.8 ** some.astype(float))).sum(axis=1) <= np.log(1e-4) + 1e-9).all()
     with pytest.raises(ValueError):
-        jaccard.prefix_length(0.8, 2, 8, 0.9999)
+        jaccard.prefix_lengths(np.zeros((1, 2)), 0.8, 0.9999)
+
+
+@pytest.mark.parametrize(("crowd", "block"), [(512, 512), (3, 2)])
+def test_recall_against_all_pairs(spark, crowd, block):
+    """Pairs close to the threshold, among documents that share a third of their text with many others."""
+    rng, rows = np.random.default_rng(12), []
+    common = cases.prose(90, 40).split()
+    for k in range(150):
+        base = cases.prose(1000 + k, 80).split()
+        for m in range(3):
+            w = list(base)
+            for at in rng.choice(80, rng.integers(1, 4), replace=False):
+                w[at] = f"new{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(w + (common if k % 2 else []))))
+    want = cases.near_classes(rows)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), crowd=crowd, block=block).collect()}
+    links = sum(n for _, n in want.values())
+    assert links > 200
+    assert sum(n for _, n in got.values()) >= 0.995 * links and all(got[i][1] <= want[i][1] for i in want)
 
 
 def test_components(spark):
