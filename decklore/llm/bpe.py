@@ -28,8 +28,8 @@ from decklore.llm import arrow
 from decklore.llm.tokens import LETTERS, MARKS, SPACED_WORDS, Encoder, encoder, gathered, letters_and_mark
 
 HASH_BYTES, MASK_BITS, LEAST_CHUNK, MOST_CHUNK = 32, 10, 256, 8192
-#: Characters of chunks that a worker remembers; it starts anew beyond.
-MAX_CHUNK_CHARS = 8_000_000
+#: Characters of chunks that a worker remembers: those of the last half for sure, and older ones that came again.
+MAX_CHUNK_CHARS = 16_000_000
 HEAD_PIECES = 8
 HALF_CONTRACTIONS = ("'r", "'v", "'l")
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -74,6 +74,24 @@ def cut_points(
     return out
 
 
+def one_kind(text: str) -> bool:
+    """Letters alone, digits alone, white space alone or none of these: such text has no word's end inside."""
+    return text.isalpha() or text.isnumeric() or text.isspace() or not any(c.isalnum() or c.isspace() for c in text)
+
+
+def glued(chunks: list[str]) -> list[str]:
+    """Chunks without a word's end inside have no place for a seam; they become one with what is on either side."""
+    out, open_ = [], False
+    for text in chunks:
+        inside = one_kind(text)
+        if out and (inside or open_):
+            out[-1].append(text)
+        else:
+            out.append([text])
+        open_ = inside
+    return ["".join(parts) for parts in out]
+
+
 @dataclass(slots=True)
 class Chunk:
     """Encoded text, right if a word starts where it starts and ends where it ends."""
@@ -99,7 +117,10 @@ class ChunkEncoder:
         self.added = {t.content: np.array([i], base.width).tobytes() for i, t in added.items()}
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.chunks: dict[str, Chunk] = {}
+        self.older: dict[str, Chunk] = {}
         self.n_chars = 0
+        #: Characters that were asked for, and those that were encoded: how much reuse there was.
+        self.asked_chars = self.encoded_chars = 0
         alphabet = byte_alphabet()
         self.bytes_of = [b""] * base.size
         for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
@@ -142,11 +163,19 @@ class ChunkEncoder:
 
     def encode_chunks(self, texts: list[str]) -> dict[str, Chunk]:
         """The chunks of these texts, those that aren't remembered encoded now."""
-        if self.n_chars > MAX_CHUNK_CHARS:
-            self.chunks, self.n_chars = {}, 0
-        new = [t for t in dict.fromkeys(texts) if t not in self.chunks]
+        if self.n_chars > MAX_CHUNK_CHARS // 2:
+            self.chunks, self.older, self.n_chars = {}, self.chunks, 0
+        self.asked_chars += sum(map(len, texts))
+        new = []
+        for text in dict.fromkeys(texts):
+            if text not in self.chunks:
+                self.n_chars += len(text)
+                if (known := self.older.pop(text, None)) is not None:
+                    self.chunks[text] = known
+                else:
+                    new.append(text)
         plain = [t for t in new if self.is_plain(t)]
-        self.n_chars += sum(map(len, new))
+        self.encoded_chars += sum(map(len, new))
         if plain:
             self._encode_plain(plain)
         for text in new:
@@ -213,13 +242,18 @@ class ChunkEncoder:
 
     def join(self, chunks: list[Chunk]) -> bytes:
         """Ids of the text that the chunks make up."""
-        left, chars, n, out = chunks[0], 0, 0, []
-        for right in chunks[1:]:
+        left, chars, n, out, i = chunks[0], 0, 0, [], 1
+        while i < len(chunks):
+            right = chunks[i]
+            i += 1
             seam = self.seam(left, right) if left.tail[0] >= chars and left.ids else None
-            if seam is None:  # too short to agree: one chunk of both
-                both = left.text[chars:] + right.text
-                out.append(left.ids[:0])
-                left, chars, n = self.one(both), 0, 0
+            if seam is None:  # too short to agree: one chunk of both, and of as many more as double it
+                both, more = [left.text[chars:], right.text], len(right.text)
+                while i < len(chunks) and more < len(both[0]):
+                    both.append(chunks[i].text)
+                    more += len(chunks[i].text)
+                    i += 1
+                left, chars, n = self.one("".join(both)), 0, 0
                 continue
             out += [left.ids[n : left.tail[1]], seam[0]]
             left, chars, n = right, seam[1], seam[2]
@@ -248,7 +282,7 @@ class ChunkEncoder:
         cuts = cut_points(np.frombuffer(data, np.uint8), starts, *self.limits) if data else []
         texts_of = []
         for start, ends in zip(starts[:-1].tolist(), cuts, strict=True):
-            texts_of.append([data[a:b].decode() for a, b in zip([start, *ends[:-1]], ends, strict=True)])
+            texts_of.append(glued([data[a:b].decode() for a, b in zip([start, *ends[:-1]], ends, strict=True)]))
         known = self.encode_chunks([t for row in texts_of for t in row])
         # What most seams will be made of, encoded together.
         pairs = ((known[a], known[b]) for row in texts_of for a, b in zip(row[:-1], row[1:], strict=True))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -138,10 +139,10 @@ def test_recall_against_all_pairs(spark, crowd, block):
     rng, rows = np.random.default_rng(12), []
     common = cases.prose(90, 40).split()
     for k in range(150):
-        base = cases.prose(1000 + k, 80).split()
+        base = cases.prose(1000 + k, 160).split()
         for m in range(3):
             w = list(base)
-            for at in rng.choice(80, rng.integers(1, 4), replace=False):
+            for at in rng.choice(160, rng.integers(1, 3), replace=False):
                 w[at] = f"new{rng.integers(1 << 30)}"
             rows.append((len(rows), " ".join(w + (common if k % 2 else []))))
     want = cases.near_classes(rows)
@@ -223,6 +224,33 @@ def test_chunks_are_encoded_once():
     assert len(own.chunks) - before < before / 2
 
 
+def test_bpe_of_long_runs():
+    """Texts without word ends: once over, whatever the number of chunks."""
+    own, plain = bpe.ChunkEncoder(tokens.Encoder(BYTE, tokens.SPACED_WORDS, tokens.letters_and_mark)), library(BYTE)
+    random.seed(8)
+    runs = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=400_000)), "7" * 30_000, "!?" * 20_000, " \t" * 20_000]
+    texts = [f"start {r} end" for r in runs] + ["".join(runs)]
+    began = time.time()
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    library_seconds, began = time.time() - began, time.time()
+    got = [np.frombuffer(raw, own.base.width).tolist() for raw in own.encode(texts)]
+    assert got == want
+    assert time.time() - began < 4 * library_seconds + 2
+    assert own.encoded_chars <= 2 * sum(map(len, texts))
+
+
+def test_chunk_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_CHUNK_CHARS", 20_000)
+    own = bpe.ChunkEncoder(tokens.Encoder(BYTE))
+    shared = cases.prose(6, 800)
+    for i in range(12):
+        own.encode([cases.prose(100 + i, 600), shared])
+        assert sum(map(len, own.chunks)) + sum(map(len, own.older)) < 40_000
+    own.encoded_chars = 0
+    own.encode([shared])
+    assert own.encoded_chars == 0
+
+
 def test_bpe_query(spark, odd, empty):
     got = {r["doc_id"]: r for r in bpe.bpe_round_trip(odd, BYTE).collect()}
     plain = library(BYTE)
@@ -238,17 +266,23 @@ def test_bpe_query(spark, odd, empty):
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 100, 3000])
 def test_perfect_hash(n):
     keys = np.unique(np.random.default_rng(n).integers(-(1 << 62), 1 << 62, n))
-    made = idstore.PerfectHash.build(keys)
-    assert sorted(made.find(keys).tolist()) == list(range(len(keys)))
-    foreign = np.setdiff1d(np.arange(1, 20_000), keys)
-    assert (made.find(foreign) >= 0).mean() < 0.01 if n else (made.find(foreign) < 0).all()
-
-
-@pytest.mark.parametrize("segment", [1 << 20, 100])
-def test_token_files(spark, odd, empty, tmp_path, monkeypatch, segment):
-    monkeypatch.setattr(idstore, "SEGMENT_IDS", segment)
+    hashes = lambda ids, nth=0: idstore.key_hashes(ids, np.ones(len(ids), bool), np.full(len(ids), nth))
+    made = idstore.PerfectHash.build(hashes(keys))
+    assert sorted(made.find(hashes(keys)).tolist()) == list(range(len(keys)))
+    foreign = np.setdiff1d(np.arange(1, 1_000_000), keys)
+    # A foreign key passes with a chance of 2^-16: 15 of a million.
+    assert (made.find(hashes(foreign)) >= 0).sum() < 60
+    assert (made.find(hashes(keys, 1)) >= 0).sum() < 3
+    nulls = idstore.key_hashes(np.zeros(50, np.int64), np.zeros(50, bool), np.arange(50))
+    assert len({*nulls.tolist(), *hashes(np.arange(50)).tolist(), *hashes(np.arange(50), 1).tolist()}) == 150
+
+
+@pytest.mark.parametrize(("segment", "bucket"), [(1 << 16, 2048), (100, 3)])
+def test_token_files(spark, odd, empty, tmp_path, monkeypatch, segment, bucket):
+    monkeypatch.setattr(idstore, "BLOCK_IDS", segment)
+    monkeypatch.setattr(idstore, "BUCKET_KEYS", bucket)
     path = str(tmp_path / "ids")
-    docs = odd.unionByName(cases.frame(spark, [cases.row(None, "null id"), cases.row(5, "again five"), cases.row(5, "again")]))
+    docs = odd.unionByName(cases.frame(spark, [cases.row(None, "null id"), cases.row(5, "again five"), cases.row(5, "again"), cases.row(None, "another")]))
     idstore.write_ids(docs, path, WORD)
     plain = library(WORD)
     at, want = 0, []
@@ -256,7 +290,7 @@ def test_token_files(spark, odd, empty, tmp_path, monkeypatch, segment):
     by_id = {}
     for r in rows:
         by_id.setdefault(r["doc_id"], []).append(len(plain.encode(r["text"] or "", add_special_tokens=False).ids) + 1)
-    got = idstore.read_ids(spark, path).collect()
+    got = idstore.read_ids(spark, path, docs).collect()
     assert len(got) == len(rows)
     for r in sorted(got, key=lambda r: r["start"]):
         assert r["start"] == at
@@ -271,9 +305,15 @@ def test_token_files(spark, odd, empty, tmp_path, monkeypatch, segment):
             assert one[i]["ids_crc32"] == zlib.crc32(ids.tobytes())
     seen = {(r["doc_id"], tuple(r["ids"])) for r in idstore.look_up(spark, path, [9, 14, 77]).collect()}
     assert seen == {(i, (*plain.encode(t, add_special_tokens=False).ids, 2)) for i, t in cases.texts(cases.odd_rows()) if i in (9, 14)}
+    several = idstore.look_up(spark, path, [5, None]).collect()
+    assert Counter(r["doc_id"] for r in several) == {5: 3, None: 2}
+    assert {tuple(r["ids"]) for r in several} == {(*plain.encode(t, add_special_tokens=False).ids, 2) for t in ("word", "again five", "again", "null id", "another")}
+    assert not (tmp_path / "ids" / "kind=keys").exists()
+    foreign = spark.range(10_000, 60_000).withColumnRenamed("id", "doc_id")
+    assert idstore.find_keys(spark, path, foreign).count() < 15
     none = str(tmp_path / "none")
     idstore.write_ids(empty, none, WORD)
-    assert idstore.read_ids(spark, none).count() == 0
+    assert idstore.read_ids(spark, none, docs).count() == 0
 
 
 def test_words_agree_with_the_library():
