@@ -44,7 +44,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/decklore-{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex}"
     idstore.write_ids(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
-    return idstore.read_ids(spark, path)
+    return idstore.read_ids(spark, path, documents(spark, sf_dir))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
