@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from decklore.llm import arrow
 from decklore.llm.common import stage_table
-from decklore.llm.tokens import ENDED_WORDS, LETTERS, MARKS, encoder, gathered
+from decklore.llm.tokens import ENDED_WORDS, LATIN, MARKS, encoder, gathered
 
 #: Ids of a block, documents of a bucket, buckets of a group that one task call builds and of a folder, ranges of a folder of
 #: blocks, rows of a Parquet page.
@@ -229,28 +229,30 @@ class _Writer:
 
 def encode_words(column: pa.Array, path: str) -> list[bytes]:
     """Ids of texts for a tokenizer that drops white space and case. Each distinct word is encoded once a call; a word with
-    a mark behind it is its two parts, and ASCII words are encoded in lower case."""
+    marks behind it is its two parts, and ASCII and Latin words are encoded in lower case."""
     known = encoder(path, ENDED_WORDS)
     flat, counts = arrow.words(column)
     coded = flat.dictionary_encode()
     words = coded.dictionary
+    plain = pc.match_substring_regex(words, rf"^{LATIN}+(?:{MARKS})?$")
+    words = pc.if_else(plain, pc.utf8_lower(words), words)
     words = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
     # Words of letters that the normaliser leaves as they are; marks behind those are a word of their own.
-    stable = pc.and_(pc.equal(pc.utf8_normalize(words, "NFC"), words), pc.equal(pc.utf8_lower(words), words))
-    marked = pc.and_(stable, pc.match_substring_regex(words, rf"^\p{{L}}+{MARKS}$"))
-    marked = pc.and_(marked, pc.match_substring_regex(words, rf"^{LETTERS}+{MARKS}$"))
-    marks = pc.if_else(marked, pc.replace_substring_regex(words, r"^\p{L}+", ""), "").dictionary_encode()
+    marked = pc.match_substring_regex(words, rf"^{LATIN}+{MARKS}$")
+    marks = pc.if_else(marked, pc.replace_substring_regex(words, rf"^{LATIN}+", ""), "").dictionary_encode()
     base = pc.if_else(marked, pc.replace_substring_regex(words, rf"{MARKS}$", ""), words).dictionary_encode()
     bases = base.dictionary
-    alike = pc.and_(pc.equal(pc.utf8_normalize(bases, "NFC"), bases), pc.equal(pc.utf8_lower(bases), bases))
-    alike = pc.and_(alike, pc.match_substring_regex(bases, r"^\p{L}+$"))
+    alike = pc.and_(pc.match_substring_regex(bases, rf"^{LATIN}+$"), pc.equal(pc.utf8_lower(bases), bases))
     own = np.empty(len(bases), object)
     rows = alike.to_numpy(zero_copy_only=False)
     own[rows] = known.encode_rows(bases.filter(alike).to_pylist())
     own[~rows] = known.encode_all(bases.filter(pc.invert(alike)).to_pylist())
     behind = np.empty(len(marks.dictionary), object)
     behind[:] = known.encode_all(marks.dictionary.to_pylist())
-    ids = (own[base.indices.to_numpy()] + behind[marks.indices.to_numpy()]).tolist()
+    ids = own[base.indices.to_numpy()]
+    both = marked.to_numpy(zero_copy_only=False)
+    ids[both] += behind[marks.indices.to_numpy()[both]]
+    ids = ids.tolist()
     out, ends = gathered(ids, coded.indices.to_numpy(), known.width)
     upto = np.concatenate([[0], np.cumsum(counts)])
     cuts = (np.concatenate([[0], ends])[upto] * known.width.itemsize).tolist()
@@ -353,9 +355,12 @@ def _write_index(spark: SparkSession, path: str) -> None:
         F.col("x.sizes").alias("size"),
     )
     several = docs.filter("nth > 0").groupBy("doc_id").agg((F.max("nth") + 1).alias("all"))
-    several = several.select(F.col("doc_id").alias("k"), "all", F.lit(0).cast("long").alias("z"))
-    met = docs["doc_id"].eqNullSafe(several["k"]) & (docs["nth"] == several["z"])
-    docs = docs.join(several, met, "left").withColumn("same", F.coalesce("all", F.lit(1)).cast("long"))
+    several = stage_table(several.select(F.col("doc_id").alias("k"), "all", F.lit(0).cast("long").alias("z")), "ids-repeated")
+    if several.limit(1).count():
+        met = docs["doc_id"].eqNullSafe(several["k"]) & (docs["nth"] == several["z"])
+        docs = docs.join(several, met, "left").withColumn("same", F.coalesce("all", F.lit(1)).cast("long"))
+    else:
+        docs = docs.withColumn("same", F.lit(1).cast("long"))
     docs = docs.select("doc_id", "nth", *PLACE, _bucket(n_buckets).alias("bucket"))
 
     def build(table: pa.Table) -> pa.Table:

@@ -118,6 +118,8 @@ class Encoder:
 #: ASCII marks but the apostrophe, as a pattern; any run of them behind letters is a word of its own.
 #: Letters of scripts that no version of Unicode has changed of late, so all libraries agree on what they are.
 LETTERS = "[A-Za-zÀ-ɏͰ-ϿЀ-ӿḀ-ỿ]"
+#: Letters that are their own normal form, and whose lower case is one letter, the same in all libraries.
+LATIN = "[A-Za-zÀ-ÖØ-öø-įı-ɏ]"
 MARKS = r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"""
 
 

@@ -320,6 +320,7 @@ def test_words_agree_with_the_library():
     random.seed(2)
     parts = ["a", "Bc", "É", "ß", "İ", "Σ", " ", "\n", "'s", "1", "23", "!?", ".", ",", "<|endoftext|>", "日本", " ", "😀", "of", "n't", "\r\n", "́", "Å"]
     texts = ["".join(random.choices(parts, k=random.randint(0, 30))) for _ in range(4000)]
+    texts += [f"{chr(c)}a b{chr(c)} {chr(c)}, {chr(c)}{chr(c)}!?" for c in range(0xA0, 0x260)]
     plain = library(WORD)
     for text, raw in zip(texts, idstore.encode_words(pa.array(texts), WORD), strict=True):
         assert np.frombuffer(raw, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
