@@ -26,18 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decklore.llm import arrow
-from decklore.llm.common import skew_join, stage_table
+from decklore.llm.common import forget, skew_join, stage_table
 from decklore.llm.substring import BASES, rabin_karp, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Tries, levels of a path, bits of a level; the shortest prefix.
-TREES, DEPTH, LEVEL_BITS, LEAST = 24, 8, 16, 4
+TREES, DEPTH, LEVEL_BITS, LEAST = 24, 8, 8, 4
 TARGET_RECALL = 0.9999
 #: Members from which on a node is crowded; rows of a block; blocks of a node.
 CROWD, BLOCK, MOST_BLOCKS = 512, 512, 64
 #: Bytes of a group, of a row's paths; the least number of groups.
 GROUP_BYTES, ROW_BYTES, LEAST_GROUPS = 8 << 20, 512, 64
-SIGNATURE = "row long, doc_id long, shingles binary, n_shingles int, n_bytes int, top array<long>, low array<long>"
+SIGNATURE = "row long, doc_id long, shingles binary, n_shingles int, n_bytes int, paths array<long>"
 NODE = ["tree", "len", "key"]
 
 
@@ -88,13 +88,13 @@ def shingle_hashes(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def signatures(batch: pa.RecordBatch, size: int, trees: int) -> pa.RecordBatch:
-    """SIGNATURE: ``top`` has the first LEAST levels of each path, ``low`` the others, 16 bits a level."""
+    """SIGNATURE: a path has LEVEL_BITS of each MinHash, the first level in the highest bits."""
     column = arrow.texts(batch)
     hashes, counts = shingle_hashes(column, size)
     n = len(column)
     ends = np.cumsum(counts)
     there = np.flatnonzero(counts)
-    paths = np.zeros((2, len(there), trees), np.uint64)
+    paths = np.zeros((len(there), trees), np.uint64)
     if len(there):
         small = _mix32((hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32))
         starts = (ends - counts)[there]
@@ -103,8 +103,7 @@ def signatures(batch: pa.RecordBatch, size: int, trees: int) -> pa.RecordBatch:
                 seed = np.uint32((0x9E3779B9 * (i * 64 + j + 1)) & 0xFFFFFFFF)
                 least = np.minimum.reduceat((small ^ seed) * np.uint32(2 * (i * 64 + j) + 0x85EBCA6B), starts)
                 label = _mix32(least) & np.uint32((1 << LEVEL_BITS) - 1)
-                half = paths[j // LEAST]
-                half[:, i] = (half[:, i] << np.uint64(LEVEL_BITS)) | label.astype(np.uint64)
+                paths[:, i] = (paths[:, i] << np.uint64(LEVEL_BITS)) | label.astype(np.uint64)
     new = np.ones(len(hashes), bool)
     owner = np.repeat(np.arange(n), counts)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
@@ -115,7 +114,6 @@ def signatures(batch: pa.RecordBatch, size: int, trees: int) -> pa.RecordBatch:
         xxhash.xxh3_128_digest(distinct[z - k : z].tobytes()) if k else b"" for z, k in zip(upto.tolist(), per.tolist(), strict=True)
     ]
     offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(counts > 0, trees, 0))]).astype(np.int32))
-    top, low = (pa.ListArray.from_arrays(offsets, pa.array(p.reshape(-1).view(np.int64))) for p in paths)
     return pa.RecordBatch.from_arrays(
         [
             batch.column("row"),
@@ -123,10 +121,9 @@ def signatures(batch: pa.RecordBatch, size: int, trees: int) -> pa.RecordBatch:
             pa.array(digest, pa.binary()),
             pa.array(per, pa.int32()),
             pa.array(pc.binary_length(column)).cast(pa.int32()),
-            top,
-            low,
+            pa.ListArray.from_arrays(offsets, pa.array(paths.reshape(-1).view(np.int64))),
         ],
-        names=["row", "doc_id", "shingles", "n_shingles", "n_bytes", "top", "low"],
+        names=["row", "doc_id", "shingles", "n_shingles", "n_bytes", "paths"],
     )
 
 
@@ -134,8 +131,7 @@ class Paths:
     """The paths and lengths of the rows of a table, as matrices of rows x tries."""
 
     def __init__(self, table: pa.Table) -> None:
-        self.top, self.low, self.len = (self._matrix(table, c) for c in ("top", "low", "lens"))
-        self.low = self.low.view(np.uint64)
+        self.path, self.len = self._matrix(table, "paths").view(np.uint64), self._matrix(table, "lens")
 
     @staticmethod
     def _matrix(table: pa.Table, name: str) -> np.ndarray:
@@ -144,15 +140,14 @@ class Paths:
 
     def meet(self, tree: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """left x right: do the paths share the shorter of the two prefixes?"""
-        met = self.top[left, tree][:, None] == self.top[right, tree][None, :]
+        shortest = self.path >> np.uint64((DEPTH - LEAST) * LEVEL_BITS)
+        met = shortest[left, tree][:, None] == shortest[right, tree][None, :]
         if met.any():
             i, j = np.nonzero(met)
             a, b = left[i], right[j]
             length = np.minimum(self.len[a, tree], self.len[b, tree]).astype(np.uint64)
-            # A shift by all 64 bits has no result, so by half of them twice.
-            shift = (np.uint64(DEPTH) - length) * np.uint64(LEVEL_BITS // 2)
-            differ = self.low[a, tree] ^ self.low[b, tree]
-            met[i, j] = (differ >> shift) >> shift == 0
+            differ = self.path[a, tree] ^ self.path[b, tree]
+            met[i, j] = differ >> ((np.uint64(DEPTH) - length) * np.uint64(LEVEL_BITS)) == 0
         return met
 
     def first_meetings(self, tree: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -293,11 +288,14 @@ def components(edges: DataFrame) -> DataFrame:
     smallest neighbour comes from an aggregation and goes back by a skew-safe join, so no node's neighbours meet.
     """
 
+    used: list[DataFrame] = []
+
     def least(pairs: DataFrame) -> DataFrame:
         pairs = stage_table(pairs, "star-pairs")
         low = stage_table(
             pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "star-least"
         )
+        used.extend((pairs, low))
         return skew_join(pairs, low, ["u"], "n").withColumn("m", F.least("u", "m"))
 
     edges = stage_table(edges.distinct(), "star-edges")
@@ -309,7 +307,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = near.select("u", F.col("m").alias("v")).unionByName(
             near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        edges = stage_table(small.distinct(), "star-edges")
+        old, edges = edges, stage_table(small.distinct(), "star-edges")
+        forget(old, *used)
+        used.clear()
         after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             return edges
@@ -333,29 +333,31 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _node(length) -> list:
-    """tree, len and key of the node of a path at a length; keys of different prefixes may be equal, which costs a look."""
+    """tree, len and key of the node of a path at a length."""
     shift = F.lit(LEVEL_BITS) * (F.lit(DEPTH) - length)
-    low = F.when(shift < 64, F.call_function("shiftrightunsigned", F.col("low"), shift.cast("int"))).otherwise(F.lit(0))
-    return [F.col("tree"), length.cast("int").alias("len"), F.xxhash64("top", low).alias("key")]
+    return [F.col("tree"), length.cast("int").alias("len"), F.call_function("shiftrightunsigned", F.col("path"), shift.cast("int")).alias("key")]
 
 
 def forest(reps: DataFrame, threshold: float, target: float, crowd: int, trees: int) -> tuple[DataFrame, DataFrame]:
-    """The nodes in which documents meet, as staged (row, tree, len, key, members), and ``reps`` with ``lens``, the length of
-    each prefix.
+    """The nodes in which documents meet, as staged (row, tree, len, key, members), and (row, lens), the lengths of the
+    prefixes, of those documents whose lengths aren't the usual ones.
 
     A document is in the node of its own prefix, and in those above it that are another document's own. Those alone in a trie
     at the shortest length drop out of it before any longer prefix is looked at.
     """
-    paths = reps.select("row", F.posexplode(F.arrays_zip("top", "low")).alias("tree", "p")).select("row", "tree", "p.top", "p.low")
-    near = stage_table(
+    paths = reps.select("row", F.posexplode("paths").alias("tree", "path"))
+    shortest = F.call_function("shiftrightunsigned", F.col("path"), F.lit((DEPTH - LEAST) * LEVEL_BITS))
+    paths = paths.withColumn("top", shortest)
+    several = stage_table(
         paths.groupBy("tree", "top").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "jaccard-shortest"
     )
-    near = stage_table(skew_join(paths, near, ["tree", "top"], "members"), "jaccard-near")
+    near = skew_join(paths, several, ["tree", "top"], "members").drop("top")
+    near = stage_table(near, "jaccard-near")
     level = F.explode(F.sequence(F.lit(LEAST), F.lit(DEPTH))).alias("at")
-    levels = near.filter(F.col("members") > crowd).select("row", "tree", "top", "low", level).select("row", *_node(F.col("at")))
+    levels = near.filter(F.col("members") > crowd).select("row", "tree", "path", level).select("row", *_node(F.col("at")))
     crowded = levels.groupBy(*NODE).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > crowd)
-    crowded = skew_join(levels, stage_table(crowded, "jaccard-crowded"), NODE, "members")
-    deepest = crowded.groupBy("row", "tree").agg(F.max("len").alias("len"))
+    crowded = stage_table(crowded, "jaccard-crowded")
+    deepest = skew_join(levels, crowded, NODE, "members").groupBy("row", "tree").agg(F.max("len").alias("len"))
     deepest = deepest.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("tree", "len"))).alias("crowded"))
 
     def lengths(batches):
@@ -371,16 +373,19 @@ def forest(reps: DataFrame, threshold: float, target: float, crowd: int, trees:
             )
 
     own = stage_table(deepest.mapInArrow(lengths, "row long, lens array<tinyint>"), "jaccard-lengths")
-    usual = F.array(*[F.lit(int(k)).cast("tinyint") for k in prefix_lengths(np.zeros((1, trees)), threshold, target)[0]])
-    reps = stage_table(
-        reps.join(own, "row", "left").withColumn("lens", F.coalesce("lens", usual)), "jaccard-prefixes"
-    )
-    placed = near.join(reps.select("row", "lens"), "row").withColumn("own", F.get("lens", F.col("tree")).cast("int"))
-    placed = placed.select("row", "tree", "top", "low", "own", F.explode(F.sequence(F.lit(LEAST), F.col("own"))).alias("at"))
-    placed = stage_table(placed.select("row", (F.col("at") == F.col("own")).alias("asks"), *_node(F.col("at"))), "jaccard-placed")
+    placed = near.join(own, "row", "left").withColumn("own", F.get(F.coalesce("lens", usual(threshold, target, trees)), F.col("tree")).cast("int"))
+    placed = placed.select("row", "tree", "path", "own", F.explode(F.sequence(F.lit(LEAST), F.col("own"))).alias("at"))
+    placed = placed.select("row", (F.col("at") == F.col("own")).alias("asks"), *_node(F.col("at")))
     nodes = placed.groupBy(*NODE).agg(F.count(F.lit(1)).alias("members"), F.count_if("asks").alias("askers"))
     nodes = stage_table(nodes.filter("members > 1 and askers > 0").drop("askers"), "jaccard-nodes")
-    return stage_table(skew_join(placed.drop("asks"), nodes, NODE, "members"), "jaccard-met"), reps
+    met = stage_table(skew_join(placed.drop("asks"), nodes, NODE, "members"), "jaccard-met")
+    forget(several, near, crowded, nodes)
+    return met, own
+
+
+def usual(threshold: float, target: float, trees: int):
+    """The lengths of a document in no crowded node."""
+    return F.array(*[F.lit(int(k)).cast("tinyint") for k in prefix_lengths(np.zeros((1, trees)), threshold, target)[0]])
 
 
 def unit_rows(met: DataFrame, block: int) -> DataFrame:
@@ -420,30 +425,34 @@ def _classes(
         known.groupBy("shingles").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "jaccard-sets"
     )
     reps = known.join(sets.select(F.col("first.row").alias("row"), "n"), "row")
-    reps = stage_table(reps.select("row", "n", "n_shingles", "n_bytes", "top", "low"), "jaccard-representatives")
-    met, reps = forest(reps, threshold, target_recall, crowd, trees)
+    reps = stage_table(reps.select("row", "n", "n_shingles", "n_bytes", "paths"), "jaccard-representatives")
+    met, own = forest(reps, threshold, target_recall, crowd, trees)
+    lens = F.coalesce("lens", usual(threshold, target_recall, trees)).alias("lens")
+    some = met.select("row").distinct().join(own, "row", "left").select("row", lens)
+    some = stage_table(reps.join(some, "row"), "jaccard-candidates")
     units = unit_rows(met, block)
-    size = units.join(reps.select("row", "lens"), "row").count()  # rows of some 500 bytes
+    size = units.count()
     groups = max(LEAST_GROUPS, math.ceil(size * ROW_BYTES / GROUP_BYTES))
     where = lambda n: F.pmod(F.xxhash64(*NODE, "first", "second"), F.lit(n)).cast("int").alias("pid")
-    slim_rows = units.join(reps.select("row", "n_shingles", "top", "low", "lens"), "row").withColumn("pid", where(groups))
+    slim_rows = units.join(some.select("row", "n_shingles", "paths", "lens"), "row").withColumn("pid", where(groups))
     unit = "tree int, len int, key long, first int, second int, block int"
     needed = slim_rows.groupBy("pid").applyInArrow(
         arrow.giving_back(lambda key, t: _needed(t, threshold)), f"row long, {unit}"
     )
     needed = stage_table(needed.distinct(), "jaccard-needed")
     # Groups are as many as the text asks for, each row's as often as it is repeated.
-    size = needed.join(reps.select("row", "n_bytes"), "row").agg(F.coalesce(F.sum(F.col("n_bytes") + ROW_BYTES), F.lit(0)).alias("s")).first()["s"]
+    size = needed.join(some.select("row", "n_bytes"), "row").agg(F.coalesce(F.sum(F.col("n_bytes") + ROW_BYTES), F.lit(0)).alias("s")).first()["s"]
     groups = max(LEAST_GROUPS, math.ceil(size / GROUP_BYTES))
     columns = [*NODE, "first", "second", "block"]
     wanted = needed.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("units"))
-    full = slim.select("row", "text").join(wanted.hint("shuffle_hash"), "row").join(reps.select("row", "n", "top", "low", "lens"), "row")
-    full = full.select("row", "n", "top", "low", "lens", "text", F.explode("units").alias("u"))
-    full = full.select("row", "n", "top", "low", "lens", "text", "u.*")
+    full = slim.select("row", "text").join(wanted.hint("shuffle_hash"), "row").join(some.select("row", "n", "paths", "lens"), "row")
+    full = full.select("row", "n", "paths", "lens", "text", F.explode("units").alias("u"))
+    full = full.select("row", "n", "paths", "lens", "text", "u.*")
     verified = full.withColumn("pid", where(groups)).groupBy("pid").applyInArrow(
         arrow.giving_back(lambda key, t: _verify(t, threshold, shingle)), "row long, links long, root long"
     )
     verified = stage_table(verified, "jaccard-links")
+    forget(reps, met, own, some, needed)
     links = verified.groupBy("row").agg(F.sum("links").alias("links"))
     grown = components(verified.filter("root < row").select(F.col("row").alias("u"), F.col("root").alias("v")))
     of_set = (
@@ -460,6 +469,7 @@ def _classes(
         "shingles", "n", "links", F.col("head.doc_id").alias("class_id"), F.col("head.row").alias("stays")
     )
     of_set = stage_table(of_set, "jaccard-classes")
+    forget(verified, grown, sets)
     out = skew_join(known.select("row", "doc_id", "shingles"), of_set, ["shingles"], "n").select(
         "row",
         "doc_id",
