@@ -51,6 +51,12 @@ def forget(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, doc): the rows as structs, staged with a number each, so that no column of theirs clashes with one of ours."""
+    row = F.monotonically_increasing_id().alias("row")
+    return stage_table(docs.select(row, F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "numbered")
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
     """Join ``left`` to ``right``, which has one row for each key and in ``n`` that key's number of rows in ``left``.
 
@@ -60,11 +66,12 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: s
     """
     total = right.agg(F.coalesce(F.sum(n), F.lit(0)).alias("s")).first()["s"]
     least = max(64, total // MAX_HOT_KEYS)
-    hot = right.filter(F.col(n) > least).withColumn("__hot", F.lit(True))
+    mark = next(f"hot{i}" for i in range(len(left.columns) + 1) if f"hot{i}" not in {*left.columns, *right.columns})
+    hot = right.filter(F.col(n) > least).withColumn(mark, F.lit(True))
     cold = right.filter(F.col(n) <= least)
     marked = left.join(F.broadcast(hot), keys, "left")
-    far = marked.filter(F.col("__hot").isNull()).select(*left.columns).join(cold, keys, how)
-    return marked.filter("__hot").drop("__hot").unionByName(far)
+    far = marked.filter(F.col(mark).isNull()).select(*left.columns).join(cold, keys, how)
+    return marked.filter(mark).drop(mark).unionByName(far)
 
 
 def hex_bits(col: Column, skip: int = 0) -> Column:

@@ -65,10 +65,9 @@ def exact_groups(
     several = groups.filter("n_texts > 1").select("digest")
     if several.limit(1).count():  # one digest for several texts: their rows compare the full text
         both = stage_table(rows.join(several, "digest", "left_semi"), "exact-colliding")
-        apart = stage_table(combine(both, salts).withColumn("n", F.col("group_size")), "exact-colliding-groups")
-        out = out.unionByName(
-            skew_join(both, apart, ["digest", "body"], "n").select("id", "digest", "keep_id", "group_size")
-        )
+        apart = combine(both, salts)
+        # Shuffled by text, which may be hot: texts have no bound in bytes to broadcast them by.
+        out = out.unionByName(both.join(apart, ["digest", "body"]).select("id", "digest", "keep_id", "group_size"))
     return out.select(
         F.col("id").alias("doc_id"),
         "keep_id",
@@ -81,7 +80,8 @@ def exact_groups(
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """``docs`` with one row for each distinct text, the one of the largest id; the columns stay as they are.
 
-    A null text counts as empty and is returned as empty. Of rows that repeat an id and a text, one stays. The other
+    A null text counts as empty and is returned as empty. Of rows that repeat an id and a text, the one whose other columns
+    have the least hash stays, however the tasks run. The other
     columns, whatever their names, travel as one struct and never with the text.
     """
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
@@ -90,7 +90,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packed = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)]) if rest else F.lit(0)
     others = docs.select(
         docs[id_col].alias("id"), sha256(F.coalesce(docs[text_col], F.lit(""))).alias("digest"), packed.alias("rest")
-    ).groupBy("id", "digest").agg(F.first("rest").alias("rest"))
+    ).groupBy("id", "digest").agg(F.min_by("rest", F.xxhash64("rest")).alias("rest"))
     found = winners.join(others, winners["id"].eqNullSafe(others["id"]) & (winners["digest"] == others["digest"]))
     by_name = {id_col: winners["id"], text_col: F.col("body")}
     by_name |= {c: F.col("rest").getField(f"c{i}") for i, c in enumerate(rest)}

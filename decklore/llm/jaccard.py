@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from decklore.llm import arrow
-from decklore.llm.common import forget, skew_join, stage_table
+from decklore.llm.common import forget, numbered, skew_join, stage_table
 from decklore.llm.substring import BASES, rabin_karp, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -493,9 +493,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each class, that of the smallest id; the columns stay as they are. Rows are removed by their
     own number, so rows that share an id go or stay each by its text. Rows with a null id stay; with ``null_ids`` they are
     searched too, and any id goes before a null one."""
-    rows = stage_table(docs.withColumn("__row", F.monotonically_increasing_id()), "near-documents")
-    slim = rows.select(
-        F.col("__row").alias("row"), rows[id_col].cast("long").alias("doc_id"), rows[text_col].alias("text")
-    )
-    gone = _classes(slim, **options).filter("row <> stays").select(F.col("row").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    doc = F.col("doc")
+    slim = rows.select("row", doc.getField(id_col).cast("long").alias("doc_id"), doc.getField(text_col).alias("text"))
+    gone = _classes(slim, **options).filter("row <> stays").select("row")
+    return rows.join(gone, "row", "left_anti").select("doc.*")

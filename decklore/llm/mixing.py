@@ -15,51 +15,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from decklore.llm.common import MAX_HOT_KEYS, hex_bits, stage_table
+from decklore.llm.common import hex_bits, numbered, stage_table
 
 #: The entropy of the weights as a share of its maximum, the most passes over a source, blocks in a source's permutation.
 TARGET_ENTROPY, MAX_EPOCHS, BLOCKS, STEPS = 0.9, 4.0, 1024, 50
-SALTS = 64
-
-
-def _measure(totals: DataFrame | list[tuple[str, int]], a: float, budget: float) -> tuple[float, float]:
-    """Entropy as a share of its maximum, and the most epochs of a source, of weights at exponent ``a``."""
-    if isinstance(totals, list):
-        all_tokens = sum(t for _, t in totals)
-        raw = [(t / all_tokens) ** a for _, t in totals]
-        s = sum(raw)
-        entropy = -sum(x / s * math.log(x / s) for x in raw)
-        most, n = max(x / s * budget / t for x, (_, t) in zip(raw, totals, strict=True)), len(totals)
-    else:
-        all_tokens = totals.agg(F.sum("tokens")).first()[0]
-        raw = totals.select("tokens", F.pow(F.col("tokens") / F.lit(all_tokens), F.lit(a)).alias("x"))
-        s = raw.agg(F.sum("x")).first()[0]
-        w = F.col("x") / F.lit(s)
-        entropy, most, n = raw.agg(-F.sum(w * F.log(w)), F.max(w * budget / F.col("tokens")), F.count("x")).first()
-    return (entropy / math.log(n) if n > 1 else 1.0), most
-
-
-def bisect_exponent(
-    totals: DataFrame | list[tuple[str, int]], budget: float, target_entropy: float, max_epochs: float
-) -> float:
-    """The largest exponent that meets the target entropy, raised as far as the limit on repetition asks for.
-
-    ``totals`` are (source, tokens), all over 0, as a list or, where there are too many, as a DataFrame.
-    """
+#: Steps of the bisection that one pass over the sources takes.
+STEP_BITS = 6
+
+
+def _measure(totals: DataFrame, exponents: list[float], budget: float) -> list[tuple[float, float, float]]:
+    """For each exponent, in order: entropy of the weights as a share of its maximum, the most epochs of a source, and the sum
+    of the powers. ``totals``: source, tokens (over 0), share. Sums are of whole numbers, so no order of adding changes them."""
+    x, scale = F.pow("share", "a"), 1e18
+    exact = lambda c: F.sum(F.round(c * scale).cast("decimal(38,0)"))
+    each = totals.select("tokens", "share", F.posexplode(F.array(*[F.lit(a) for a in exponents])).alias("i", "a"))
+    told = each.groupBy("i").agg(exact(x), exact(x * F.log(x)), F.max(x / F.col("tokens")), F.count(F.lit(1)))
+    out = []
+    for _, s, t, most, n in sorted(map(tuple, told.collect())):
+        s, t = float(s) / scale, float(t) / scale
+        out.append(((math.log(s) - t / s) / math.log(n) if n > 1 else 1.0, budget * most / s, s))
+    return out
+
+
+def bisect_exponent(totals: DataFrame, budget: float, target_entropy: float, max_epochs: float) -> tuple[float, float]:
+    """The largest exponent that meets the target entropy, raised as far as the limit on repetition asks for, and the sum of
+    the powers at it. STEP_BITS steps of the bisection are one pass over ``totals``, which measures all the midpoints that
+    they could come to."""
 
     def bisect(meets_below) -> float:
-        low, high = 0.0, 1.0
-        for _ in range(STEPS):
-            mid = (low + high) / 2
-            low, high = (mid, high) if meets_below(mid) else (low, mid)
+        low, high, left = 0.0, 1.0, STEPS
+        while left:
+            bits = min(left, STEP_BITS)
+            mids = [low + (high - low) * k / (1 << bits) for k in range(1, 1 << bits)]
+            met = [meets_below(m) for m in _measure(totals, mids, budget)]
+            at, width = 0, 1 << bits
+            for _ in range(bits):
+                width //= 2
+                at += width * met[at + width - 1]
+            low, high, left = low + (high - low) * at / (1 << bits), low + (high - low) * (at + 1) / (1 << bits), left - bits
         return (low + high) / 2
 
-    a = 1.0
-    if _measure(totals, 1.0, budget)[0] < target_entropy:
-        a = bisect(lambda x: _measure(totals, x, budget)[0] >= target_entropy)
-    if _measure(totals, a, budget)[1] > max_epochs:
-        a = max(a, bisect(lambda x: _measure(totals, x, budget)[1] > max_epochs))
-    return a
+    a, (entropy, most, norm) = 1.0, _measure(totals, [1.0], budget)[0]
+    if entropy < target_entropy:
+        a = bisect(lambda m: m[0] >= target_entropy)
+        _, most, norm = _measure(totals, [a], budget)[0]
+    if most > max_epochs:
+        a = max(a, bisect(lambda m: m[1] > max_epochs))
+        norm = _measure(totals, [a], budget)[0][2]
+    return a, norm
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -85,10 +88,14 @@ def _mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    within: str | None = None,
 ) -> DataFrame:
-    """What ``mix`` says, and the number of the row; ``row`` tells the rows apart."""
+    """What ``mix`` says, and the number of the row; ``row`` tells the rows apart. The columns may be ``within`` a struct."""
+    docs = docs.select(row.alias("number"), *[(docs[within].getField(c) if within else docs[c]).alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))])
+    row, id_col, text_col, source_col = F.col("number"), "id", "text", "source"
     words = F.size(F.filter(F.split(F.coalesce(docs[text_col], F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
-    key = F.coalesce(docs[id_col].cast("string"), F.lit("null"))
+    # Rows without an id are spread over the blocks by their number.
+    key = F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("null "), row.cast("string")))
     rows = docs.select(
         docs[id_col].alias("doc_id"),
         F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("source"),
@@ -105,16 +112,13 @@ def _mix(
         "mix-blocks",
     )
     totals = per_block.groupBy("source").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0")
-    head = totals.orderBy("source").limit(MAX_HOT_KEYS + 1).collect()
-    few = len(head) <= MAX_HOT_KEYS
-    if not head:
+    grand = totals.agg(F.sum("tokens")).first()[0]
+    if not grand:
         return rows.select("row", "doc_id", "source", "n_tokens", "block", F.lit(1).cast("long").alias("copies"))
-    known = [(r["source"], r["tokens"]) for r in head] if few else stage_table(totals, "mix-totals")
-    grand = sum(t for _, t in known) if few else known.agg(F.sum("tokens")).first()[0]
     budget = float(budget_tokens or grand)
-    a = bisect_exponent(known, budget, target_entropy, max_epochs)
-    power = F.pow(F.col("tokens") / F.lit(float(grand)), F.lit(a))
-    norm = sum((t / grand) ** a for _, t in known) if few else totals.agg(F.sum(power)).first()[0]
+    totals = stage_table(totals.withColumn("share", F.col("tokens") / F.lit(float(grand))), "mix-totals")
+    a, norm = bisect_exponent(totals, budget, target_entropy, max_epochs)
+    power = F.pow("share", F.lit(a))
     plan = totals.select(
         "source", "tokens", F.round(power / F.lit(norm) * F.lit(budget)).cast("long").alias("wanted")
     ).select(
@@ -165,12 +169,10 @@ def _mix(
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as ``mix`` says of it; the columns stay as they are. Null and repeated ids are rows
     like any other: copies find their row by a number that is staged with it."""
-    rows = stage_table(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-documents")
-    copies = _mix(rows, rows["__row"], **options).filter("copies > 0").select(
-        F.col("row").alias("__row"), F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("__copies")
-    )
-    found = rows.join(copies, "__row").withColumn("__copy", F.explode("__copies"))
-    return found.select(*docs.columns)
+    rows = numbered(docs)
+    copies = _mix(rows, F.col("row"), within="doc", **options)
+    copies = copies.filter("copies > 0").select("row", F.sequence(F.lit(1).cast("long"), F.col("copies")).alias("times"))
+    return rows.join(copies, "row").select("doc", F.explode("times")).select("doc.*")
 
 
 #: DuckDB SQL for the defaults and the input's size as budget; the bisection of the entropy as a recursive query.

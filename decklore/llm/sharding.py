@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from decklore.llm.common import hex_bits, skew_join, stage_table
+from decklore.llm.common import hex_bits, numbered, skew_join, stage_table
 
 SHARD_BYTES = 16 << 20
 KEY_BITS, MAX_PASS_BITS = 60, 24
@@ -44,9 +44,10 @@ def directory(rows: DataFrame, bits: int, limit: int, first: int = 0) -> DataFra
     nodes = chain.groupBy("path", "depth", "bucket").agg(
         F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_docs")
     )
-    # The first node down the chain that fits is the shard; with none, the deepest one stays open.
-    down = chain.select("path", "prefix", "depth", "bucket", "n").join(nodes, ["path", "depth", "bucket"])
-    ends = down.filter((F.col("shard_bytes") <= limit) | (F.col("depth") == bits))
+    # The first node down the chain that fits is the shard; with none, the deepest one stays open. Nodes that are neither
+    # leave before the join: those near the root hold most prefixes.
+    nodes = nodes.filter((F.col("shard_bytes") <= limit) | (F.col("depth") == bits))
+    ends = chain.select("path", "prefix", "depth", "bucket", "n").join(nodes, ["path", "depth", "bucket"])
     best = ends.groupBy("path", "prefix").agg(F.min("depth").alias("depth"))
     return ends.join(best, ["path", "prefix", "depth"]).withColumn("fits", F.col("shard_bytes") <= limit)
 
@@ -60,15 +61,21 @@ def extendible_shards(
     row number. A null id is a key like any other. Rows that repeat a key, however many, part on their row numbers, so
     every other shard fits the limit. An empty table gives an empty result.
     """
+    return _shards(docs, F.monotonically_increasing_id(), limit, id_col, text_col, pass_bits).drop("row")
+
+
+def _shards(docs: DataFrame, row: Column, limit: int, id_col: str, text_col: str, pass_bits: int = 0) -> DataFrame:
+    """What ``extendible_shards`` says, and the number of the row."""
     key = F.coalesce(docs[id_col].cast("string"), F.lit("null"))
     slim = docs.select(
         docs[id_col].alias("doc_id"),
         F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long").alias("bytes"),
         hex_bits(key).alias("key_hash"),
-        F.monotonically_increasing_id().alias("row"),
+        row.alias("row"),
     )
     slim = stage_table(slim.withColumn("row_hash", hex_bits(F.col("row"))), "shard-rows")
     big = slim.filter(F.col("bytes") > limit).select(
+        "row",
         "doc_id",
         "bytes",
         F.concat(F.lit("big-"), F.col("row").cast("string")).alias("shard"),
@@ -88,6 +95,7 @@ def extendible_shards(
         closed = joined if last else joined.filter("fits")
         done.append(
             closed.select(
+                "row",
                 "doc_id",
                 "bytes",
                 F.concat("path", _bit_string(F.col("bucket"), F.col("depth"))).alias("shard"),
@@ -100,6 +108,7 @@ def extendible_shards(
             break
         rows = stage_table(
             joined.filter("not fits").select(
+                "row",
                 "doc_id",
                 "bytes",
                 "key_hash",
@@ -115,10 +124,17 @@ def extendible_shards(
     return out.withColumnRenamed("bytes", "n_bytes")
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write ``docs`` in one folder for each shard; ids must be unique."""
-    of = shards.select(F.col("doc_id").alias(id_col), "shard")
-    docs.join(of, id_col).repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write ``docs`` in one folder for each shard, shard=bits. Rows find their shard by their number, so null and repeated
+    ids are rows like any other. A column that is named shard must be renamed first."""
+    if "shard" in docs.columns:
+        raise ValueError("the column shard names the folders")
+    rows = numbered(docs)
+    doc = F.col("doc")
+    slim = rows.select("row", doc.getField(id_col).alias("id"), doc.getField(text_col).alias("text"))
+    of = _shards(slim, F.col("row"), limit, "id", "text").select("row", "shard")
+    found = rows.join(of, "row").select("doc.*", "shard")
+    found.repartition("shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
 
 
 #: DuckDB SQL for one pass over unique keys; {limit} in bytes.

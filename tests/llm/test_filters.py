@@ -129,13 +129,19 @@ def test_mix_matches_sql(spark, sf, same_as_sql):
 def test_mix_meets_targets(spark, odd, empty):
     rows = [cases.row(i, "w " * 50, "big") for i in range(400)] + [cases.row(1000 + i, "w " * 50, "small") for i in range(10)]
     docs = cases.frame(spark, rows)
-    totals = [("big", 20_000), ("small", 500)]
-    a = mixing.bisect_exponent(totals, 20_500, 0.9, 100)
-    assert mixing._measure(totals, a, 20_500)[0] == pytest.approx(0.9, abs=1e-6)
-    limited = mixing.bisect_exponent(totals, 20_500, 0.9, 3)
-    assert mixing._measure(totals, limited, 20_500)[1] == pytest.approx(3, abs=1e-6)
-    wide = spark.createDataFrame(totals, "source string, tokens long")
-    assert mixing.bisect_exponent(wide, 20_500, 0.9, 100) == pytest.approx(a, abs=1e-9)
+    totals = spark.createDataFrame([("big", 20_000), ("small", 500)], "source string, tokens long").selectExpr("*", "tokens / 20500 as share")
+    a, norm = mixing.bisect_exponent(totals, 20_500, 0.9, 100)
+    share = [20_000 / 20_500, 500 / 20_500]
+    assert norm == pytest.approx(sum(s**a for s in share))
+    assert -sum(s**a / norm * math.log(s**a / norm) for s in share) / math.log(2) == pytest.approx(0.9, abs=1e-6)
+    limited, norm = mixing.bisect_exponent(totals, 20_500, 0.9, 3)
+    assert share[1] ** limited / norm * 20_500 / 500 == pytest.approx(3, abs=1e-6)
+    low, high = 0.0, 1.0
+    for _ in range(mixing.STEPS):
+        mid = (low + high) / 2
+        met = mixing._measure(totals, [mid], 20_500)[0][0] >= 0.9 if high - low > 2e-3 else mid <= a
+        low, high = (mid, high) if met else (low, mid)
+    assert a == pytest.approx((low + high) / 2, abs=1e-9)
     mixed = mixing.mix(docs, target_entropy=0.9, max_epochs=3)
     sums = {r["source"]: r["t"] for r in mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()}
     assert sums["small"] <= 1500 and sums["small"] > 1400 and sum(sums.values()) <= 20_501
@@ -219,6 +225,31 @@ def test_secrets_link_access_identifiers_to_bare_keys(spark):
     assert got[5] == "hex:41:61"
 
 
-def test_entropy_of_equal_sources():
-    assert mixing._measure([("a", 5), ("b", 5)], 0.3, 10)[0] == pytest.approx(1)
-    assert math.isclose(mixing.bisect_exponent([("a", 5)], 5, 0.9, 4), 1.0)
+def test_entropy_of_equal_sources(spark):
+    two = spark.createDataFrame([("a", 5, 0.5), ("b", 5, 0.5)], "source string, tokens long, share double")
+    assert mixing._measure(two, [0.3], 10)[0][0] == pytest.approx(1)
+    assert mixing.bisect_exponent(two.filter("source = 'a'"), 5, 0.9, 4)[0] == 1.0
+
+
+def test_written_shards_keep_all_rows(spark, tmp_path):
+    rows = [cases.row(None, "x" * 90)] * 30 + [cases.row(5, f"text {i}") for i in range(30)] + [cases.row(i, "y" * 200) for i in range(9)]
+    docs = cases.frame(spark, [*rows, cases.row(99, None), cases.row(98, "z" * 3000)])
+    sharding.write_shards(docs, str(tmp_path / "shards"), limit=1000)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter(map(tuple, back.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    assert all((r["b"] or 0) <= 1000 or r["n"] == 1 for r in sizes)
+
+
+CLASH = "doc_id long, text string, source string, hot0 int, row long, doc string, shard_ string, __row long, __copy int, __hot int, stays long, number int, times int"
+
+
+def test_columns_that_clash(spark):
+    """Whatever the other columns are called, rows come out as they went in."""
+    from decklore.llm import jaccard
+
+    rows = [(i % 7 if i % 5 else None, f"some words of text number {i}", "ab"[i % 2], 1, i, "d", "s", i, 1, 1, 1, 1, 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, CLASH)
+    for out in (mixing.mixed_rows(docs), exact.exact_dedup(docs), jaccard.near_dedup(docs, null_ids=True), quality.quality_filter(docs, quality.Bands(least_words=0, bands=((float("inf"), 0, 9),)))):
+        assert out.columns == docs.columns
+        assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
