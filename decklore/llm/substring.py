@@ -1,22 +1,27 @@
-"""Substring dedup: Rabin-Karp hashes of every window of words; repeated windows merge into maximal removal intervals.
+"""Substring dedup: Rabin-Karp hashes of windows of words, counted in Spark; repeated windows merge into maximal removal
+intervals.
 
-Documents are dealt into groups by a digest of their ids; each group is worked on as a whole, and a group's size is
-bounded, so their number grows with the input. Windows meet by hash:
+Documents are dealt into groups by a hash of id and text; each group is worked on as a whole, and a group's size is
+bounded, so their number grows with the input.
 
 1. Every window has an anchor, the least hash among its runs of ANCHOR_WORDS words. Equal windows have equal anchors, so
-   a window whose anchor is in no other document is proven to be in none either. Groups send each distinct anchor once.
-2. Each window with a shared anchor has a 96-bit Rabin-Karp hash. Groups send each distinct hash once, with the smallest id
-   of their documents that have it; one bit comes back: whether another group has it with a smaller id.
+   a window whose anchor is in no other document is proven to be in none either. Groups exchange each distinct anchor once,
+   packed by range of hash, and get one bit for each: whether another group has it. That spares the rows of step 2 for all
+   windows of text that nothing shares.
+2. Each window with a shared anchor has a 96-bit Rabin-Karp hash. A group sends each distinct hash as a row, with the smallest
+   id of its documents that have it; Spark counts them, and gives back those that another group has with a smaller id.
 3. A group marks the windows that a document of a smaller id has, in the group or outside, merges them into intervals and
    drops the words in those.
 
-A window in a third of all documents is one entry for each group, no matter how many documents hold it.
+A window in a third of all documents is one row for each group, no matter how many documents hold it. Windows are equal if
+their hashes are: among n distinct windows a false match has a chance of about n^2 / 2^97.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +29,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from decklore.llm import arrow
 
@@ -32,7 +38,8 @@ WINDOW, ANCHOR_WORDS = 50, 8
 #: they have entries, and at most one for each bucket, so larger groups suit larger inputs and executors.
 GROUP_BYTES, BUCKET_BYTES, LEAST_GROUPS = 8 << 20, 16 << 20, 16
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-ENTRY = "bucket int, pid int, n int, low binary, high binary, first binary"
+ENTRY = "bucket int, pid int, n int, low binary"
+WINDOW_ROW = "pid int, low long, high long, first long"
 BITS = "pid int, bucket int, bits binary"
 
 
@@ -119,28 +126,21 @@ class Group:
         return l[new], h[new], d[new], place, at
 
 
-def _send(pid: int, low: np.ndarray, high: np.ndarray, first: np.ndarray, buckets: int) -> pa.Table:
-    """Entries, sorted by ``low``, as one row for each bucket: ranges of ``low``, so order is kept."""
-    edges = np.searchsorted(low, _edges(buckets)) if len(low) else np.zeros(buckets + 1, np.int64)
-    edges[-1] = len(low)
-    rows = [(b, int(edges[b]), int(edges[b + 1])) for b in range(buckets) if edges[b] < edges[b + 1]]
-    cut = lambda x: pa.array([x[a:z].tobytes() for _, a, z in rows], pa.binary())
+def _send(pid: int, low: np.ndarray, bits: int) -> pa.Table:
+    """Entries, sorted by ``low``, as one row for each bucket that has any: by the highest bits, so order is kept."""
+    bucket = (low >> np.uint64(64 - bits)).astype(np.int64)
+    edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(low)]
+    cut = list(zip(edges[:-1], edges[1:], strict=True))
     return pa.table(
         {
-            "bucket": pa.array([b for b, _, _ in rows], pa.int32()),
-            "pid": pa.array([pid] * len(rows), pa.int32()),
-            "n": pa.array([z - a for _, a, z in rows], pa.int32()),
-            "low": cut(low),
-            "high": cut(high),
-            "first": cut(first),
+            "bucket": pa.array(bucket[edges[:-1]], pa.int32()),
+            "pid": pa.array([pid] * len(cut), pa.int32()),
+            "n": pa.array([z - a for a, z in cut], pa.int32()),
+            "low": pa.array([low[a:z].tobytes() for a, z in cut], pa.binary()),
         }
     )
 
 
-def _edges(buckets: int) -> np.ndarray:
-    return np.array([(i << 64) // buckets for i in range(buckets)] + [(1 << 64) - 1], np.uint64)
-
-
 def _received(bits: pa.Table, n: int) -> np.ndarray:
     """The bits of all entries of a group, in the order in which they were sent."""
     rows = sorted(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True))
@@ -151,27 +151,16 @@ def _received(bits: pa.Table, n: int) -> np.ndarray:
     return out
 
 
-def _compare(table: pa.Table, by_first: bool) -> pa.Table:
-    """For each entry of a bucket: does another group have it (by_first: with a smaller id)?"""
+def _compare(table: pa.Table) -> pa.Table:
+    """For each entry of a bucket: does another group have it?"""
     pids, n = table.column("pid").to_pylist(), table.column("n").to_numpy()
-    read = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    low = read("low", np.uint64)
-    if by_first:
-        high, first = read("high", np.uint32), read("first", np.int64)
-        order = np.lexsort((first, high, low))
-        same = (low[order][1:] == low[order][:-1]) & (high[order][1:] == high[order][:-1])
-    else:
-        first, order = None, np.argsort(low, kind="stable")
-        same = low[order][1:] == low[order][:-1]
+    low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint64)
+    order = np.argsort(low, kind="stable")
     new = np.ones(len(low), bool)
-    new[1:] = ~same
+    new[1:] = low[order][1:] != low[order][:-1]
     run = np.cumsum(new) - 1
-    if by_first:
-        answer = first[order] > first[order][np.flatnonzero(new)][run]
-    else:
-        answer = np.bincount(run)[run] > 1
     bits = np.empty(len(low), np.uint8)
-    bits[order] = answer
+    bits[order] = np.bincount(run)[run] > 1
     ends = np.cumsum(n)
     return pa.table(
         {
@@ -182,6 +171,19 @@ def _compare(table: pa.Table, by_first: bool) -> pa.Table:
     )
 
 
+def _among(low: np.ndarray, high: np.ndarray, rows: pa.Table) -> np.ndarray:
+    """Which of the distinct hashes are among the rows' ones?"""
+    all_low = np.concatenate([low, rows.column("low").to_numpy().view(np.uint64)])
+    all_high = np.concatenate([high.astype(np.int64), rows.column("high").to_numpy()])
+    order = np.lexsort((all_high, all_low))
+    l, h = all_low[order], all_high[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (l[1:] != l[:-1]) | (h[1:] != h[:-1])
+    run = np.empty(len(order), np.int64)
+    run[order] = np.cumsum(new) - 1
+    return np.isin(run[: len(low)], run[len(low) :])
+
+
 def _finish(group: Group, gone: np.ndarray) -> pa.Table:
     """gone: starts of removed windows in the flat words."""
     edge = np.zeros(len(group.flat) + 1, np.int64)
@@ -212,15 +214,15 @@ def substring_dedup(
     other's words. Texts of any length are worked on whole. An empty table gives an empty result.
     """
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    known = slim.filter("doc_id is not null")
+    size = known.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     groups = max(LEAST_GROUPS, math.ceil(size / GROUP_BYTES))
-    buckets = max(LEAST_GROUPS, math.ceil(size / BUCKET_BYTES))
-    dealt = slim.withColumn("pid", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")).groupBy("pid")
+    bits = max(LEAST_GROUPS, math.ceil(size / BUCKET_BYTES)).bit_length()
+    # Rows that repeat an id are spread by their texts.
+    dealt = known.withColumn("pid", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).groupBy("pid")
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
-        distinct, _, _ = Group(table, window).anchor_entries()
-        nothing = np.empty(0, np.uint8)
-        return _send(key[0].as_py(), distinct, nothing, nothing, buckets)
+        return _send(key[0].as_py(), Group(table, window).anchor_entries()[0], bits)
 
     def shared_windows(group: Group, anchors: pa.Table) -> np.ndarray:
         distinct, place, here = group.anchor_entries()
@@ -229,26 +231,33 @@ def substring_dedup(
     def send_windows(key: tuple, table: pa.Table, anchors: pa.Table) -> pa.Table:
         group = Group(table, window)
         low, high, first, _, _ = group.window_entries(shared_windows(group, anchors))
-        return _send(key[0].as_py(), low, high, first, buckets)
+        pid = np.full(len(low), key[0].as_py(), np.int32)
+        return pa.table({"pid": pid, "low": low.view(np.int64), "high": high.astype(np.int64), "first": first})
 
-    def apply(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        group = Group(table, window)
-        shared = shared_windows(group, answers.filter(pc.equal(answers.column("stage"), 0)))
-        low, _, first, place, at = group.window_entries(shared)
-        before = _received(answers.filter(pc.equal(answers.column("stage"), 1)), len(low))
-        gone = at[before[place] | (group.doc[shared] > first[place])]
-        out = _finish(group, gone)
+    def told(out: pa.Table) -> pa.Table:
         if keep_text:
             return out
         digest = [hashlib.sha256(t).hexdigest() for t in out.column("kept_text").cast(pa.binary()).to_pylist()]
         return out.drop_columns(["kept_text"]).append_column("kept_sha256", pa.array(digest, pa.string()))
 
-    anchors = dealt.applyInArrow(arrow.giving_back(send_anchors), ENTRY)
-    anchors = anchors.groupBy("bucket").applyInArrow(lambda t: _compare(t, False), BITS)
-    windows = dealt.cogroup(anchors.groupBy("pid")).applyInArrow(arrow.giving_back(send_windows), ENTRY)
-    windows = windows.groupBy("bucket").applyInArrow(lambda t: _compare(t, True), BITS)
-    answers = anchors.withColumn("stage", F.lit(0)).unionByName(windows.withColumn("stage", F.lit(1)))
+    def apply(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        group = Group(table, window)
+        shared = shared_windows(group, answers.filter(pc.is_valid(answers.column("bits"))))
+        low, high, first, place, at = group.window_entries(shared)
+        before = _among(low, high, answers.filter(pc.is_null(answers.column("bits"))))
+        return told(_finish(group, at[before[place] | (group.doc[shared] > first[place])]))
+
+    def without_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in arrow.steps(batches):
+            group = Group(pa.Table.from_batches([step]), window)
+            yield from told(_finish(group, np.empty(0, np.int64))).to_batches()
+
+    anchors = dealt.applyInArrow(arrow.giving_back(send_anchors), ENTRY).groupBy("bucket").applyInArrow(_compare, BITS)
+    windows = dealt.cogroup(anchors.groupBy("pid")).applyInArrow(arrow.giving_back(send_windows), WINDOW_ROW)
+    same = Window.partitionBy("low", "high")
+    later = windows.withColumn("least", F.min("first").over(same)).filter("least < first").select("pid", "low", "high")
+    answers = anchors.unionByName(later, allowMissingColumns=True)
     last = "kept_text string" if keep_text else "kept_sha256 string"
-    return dealt.cogroup(answers.groupBy("pid")).applyInArrow(
-        arrow.giving_back(apply), f"doc_id long, n_words long, n_removed long, {last}"
-    )
+    schema = f"doc_id long, n_words long, n_removed long, {last}"
+    out = dealt.cogroup(answers.groupBy("pid")).applyInArrow(arrow.giving_back(apply), schema)
+    return out.unionByName(slim.filter("doc_id is null").mapInArrow(without_id, schema))
