@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A hot key's rows are joined by broadcast; there are at most this many hot keys, whatever the input.
 MAX_HOT_KEYS = 100_000
+#: Bytes up to which a table of rows of known width is broadcast whole.
+BROADCAST_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,13 +59,16 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stage_table(docs.select(row, F.struct(*[docs[c] for c in docs.columns]).alias("doc")), "numbered")
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner", width: int = 0) -> DataFrame:
     """Join ``left`` to ``right``, which has one row for each key and in ``n`` that key's number of rows in ``left``.
 
     Keys with more than 1/100,000 of all rows (there can be no more than 100,000 of those) go by broadcast, so their
     rows stay where they are; all others have few rows and are shuffled. Both inputs are read twice: stage them.
-    ``how`` is inner or left. Null keys match nothing.
+    ``how`` is inner or left. Null keys match nothing. With ``width``, the bytes of a row of ``right``, which must have no
+    column of variable size, all of it goes by broadcast if its number of rows shows that it is within BROADCAST_BYTES.
     """
+    if width and right.count() * width <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right), keys, how)
     total = right.agg(F.coalesce(F.sum(n), F.lit(0)).alias("s")).first()["s"]
     least = max(64, total // MAX_HOT_KEYS)
     mark = next(f"hot{i}" for i in range(len(left.columns) + 1) if f"hot{i}" not in {*left.columns, *right.columns})

@@ -351,7 +351,7 @@ def forest(reps: DataFrame, threshold: float, target: float, crowd: int, trees:
     several = stage_table(
         paths.groupBy("tree", "top").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "jaccard-shortest"
     )
-    near = skew_join(paths, several, ["tree", "top"], "members").drop("top")
+    near = skew_join(paths, several, ["tree", "top"], "members", width=48).drop("top")
     near = stage_table(near, "jaccard-near")
     level = F.explode(F.sequence(F.lit(LEAST), F.lit(DEPTH))).alias("at")
     levels = near.filter(F.col("members") > crowd).select("row", "tree", "path", level).select("row", *_node(F.col("at")))
@@ -378,7 +378,7 @@ def forest(reps: DataFrame, threshold: float, target: float, crowd: int, trees:
     placed = placed.select("row", (F.col("at") == F.col("own")).alias("asks"), *_node(F.col("at")))
     nodes = placed.groupBy(*NODE).agg(F.count(F.lit(1)).alias("members"), F.count_if("asks").alias("askers"))
     nodes = stage_table(nodes.filter("members > 1 and askers > 0").drop("askers"), "jaccard-nodes")
-    met = stage_table(skew_join(placed.drop("asks"), nodes, NODE, "members"), "jaccard-met")
+    met = stage_table(skew_join(placed.drop("asks"), nodes, NODE, "members", width=56), "jaccard-met")
     forget(several, near, crowded, nodes)
     return met, own
 
