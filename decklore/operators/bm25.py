@@ -11,28 +11,29 @@ from decklore.functions.text import terms
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
-def postings(chunks: DataFrame, id_col: str, text_col: str, only: DataFrame | None = None) -> DataFrame:
-    """id, term, tf, dl: one row for each distinct term of each chunk, or of the terms in ``only``. The length is counted
-    before the explode, so no second pass is needed."""
-    cut = chunks.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
-    cut = cut.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    cut = cut.join(only, "term", "left_semi") if only is not None else cut
-    return cut.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def corpus_size(chunks: DataFrame, text_col: str) -> DataFrame:
-    """One row: n and avgdl, chunks without terms included."""
-    size = F.size(terms(F.coalesce(F.col(text_col), F.lit(""))))
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(size.cast("double")).alias("avgdl"))
-
-
-def term_stats(posts: DataFrame, corpus: DataFrame) -> DataFrame:
-    """term, df, idf."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(corpus.select("n")))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def spread(chunks: DataFrame) -> DataFrame:
+    """Dealt over all cores where there are fewer partitions: cutting text into terms is what costs."""
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks.repartition(cores) if chunks.rdd.getNumPartitions() < cores else chunks
+
+
+def cut(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, ts: the terms of each chunk."""
+    slim = spread(chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return slim.select("id", terms(F.coalesce("text", F.lit(""))).alias("ts"))
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """docs(id, ts) to term, df, idf, n, avgdl, in one pass: the entry of no term, which every chunk has, counts chunks and
+    sums lengths; chunks without terms count too."""
+    each = docs.select(F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("ts"))).alias("term"))
+    told = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("all"))
+    whole = told.filter("term = ''").select(F.col("df").alias("n"), (F.col("all") / F.col("df")).alias("avgdl"))
+    raw = told.filter("term <> ''").crossJoin(F.broadcast(whole))  # one row
+    raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"), "n", "avgdl")
 
 
 def weight(tf: Column, dl: Column, avgdl: Column, idf: Column) -> Column:
@@ -40,14 +41,18 @@ def weight(tf: Column, dl: Column, avgdl: Column, idf: Column) -> Column:
 
 
 def scores(queries: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """queries(qid, q) to qid, id, score over 0. A term that a query repeats counts as often."""
-    posts, corpus = postings(chunks, id_col, text_col), corpus_size(chunks, text_col)
+    """queries(qid, q) to qid, id, score over 0. A term that a query repeats counts as often.
+
+    Terms that nobody asks for leave before they are counted by chunk, so what is joined to the queries is small.
+    """
+    docs = cut(chunks, id_col, text_col)
     asked = queries.select("qid", F.explode(terms(F.col("q"))).alias("term")).groupBy("qid", "term").agg(
         F.count(F.lit(1)).alias("times")
     )
-    # Statistics are needed for the terms asked for; those terms alone are joined to the postings.
     wanted = asked.select("term").distinct()
-    stats = term_stats(posts, corpus).join(wanted, "term", "left_semi")
-    found = asked.join(stats, "term").join(postings(chunks, id_col, text_col, wanted), "term").crossJoin(F.broadcast(corpus.select("avgdl")))
+    posts = docs.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
+    posts = posts.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    stats = vocabulary(docs).join(wanted, "term", "left_semi")
     one = F.col("times") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
+    found = posts.join(stats, "term").join(asked, "term")
     return found.groupBy("qid", "id").agg(F.sum(one).alias("score")).filter("score > 0")

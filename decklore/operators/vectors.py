@@ -11,15 +11,46 @@ from pyspark.sql import functions as F
 
 from decklore.functions.numeric import dot
 
+#: Vectors of a block; blocks meet as matrices.
 BLOCK = 2048
-#: Query vectors of one search job that a task holds; more are searched in several blocks.
-QUERY_BLOCK = 4096
 
 
-def knn_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """queries(qid, qv) x vectors(id, v), unit length, to qid, id, score. All rows are scored; the query set is stated by
-    the caller, is small beside the vectors and goes wherever Spark's size check sends it."""
-    return queries.crossJoin(vectors).select("qid", "id", dot(F.col("qv"), F.col("v")).alias("score"))
+def _packed(vectors: DataFrame, id_col: str, v_col: str, names: tuple[str, str]) -> DataFrame:
+    """Blocks of at most BLOCK vectors, one row each: the ids, and the matrix as a binary value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                some = pa.Table.from_batches([batch.slice(at, BLOCK)])
+                ids = pa.array([some.column(0).to_pylist()], pa.list_(some.column(0).type))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([_matrix(some.column(1)).tobytes()], pa.binary())], names=list(names))
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    return vectors.select(id_col, v_col).mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} binary")
+
+
+def knn_scores(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
+    """queries(qid, qv) x vectors(id, v), unit length, to qid, id, score; with ``k`` only what may be among the best k of a
+    query (by score to 9 places, then id). All vectors are scored: a block of queries meets a block of vectors as a matrix
+    product. The query set is stated by the caller; its blocks go wherever Spark's size check sends them."""
+    asked, there = _packed(queries, "qid", "qv", ("qids", "qm")), _packed(vectors, "id", "v", ("ids", "m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                qids, ids = batch.column("qids")[row].values, batch.column("ids")[row].values
+                qm, m = (np.frombuffer(batch.column(c)[row].as_py(), "<f8") for c in ("qm", "m"))
+                sims = qm.reshape(len(qids), -1) @ m.reshape(len(ids), -1).T
+                i, j = np.divmod(np.arange(sims.size), len(ids))
+                if k is not None and k < len(ids):
+                    by_id = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"))
+                    j = np.lexsort((np.broadcast_to(by_id, sims.shape), -np.round(sims, 9)), axis=1)[:, :k].reshape(-1)
+                    i = np.repeat(np.arange(len(qids)), k)
+                columns = [qids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(sims[i, j])]
+                yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "score"])
+
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((queries, "qid"), (vectors, "id"))]
+    return there.crossJoin(asked).mapInArrow(run, f"qid {kinds[0]}, id {kinds[1]}, score double")
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:

@@ -90,13 +90,27 @@ def session_pages(spark, d):
     return intake.session_pages(read_table(spark, d, "conversations").select("conv_id", "turn", move.alias("move")), 5)
 
 
+STATES = ("presenting", "answering", "navigating", "paused", "escalated")
+
+
 def interrupt_matrix(spark, d):
-    """What each event does to a session that was idle, moving or speaking by its user's number."""
-    rules = spark.createDataFrame(intake.INTERRUPTS, "state string, event string, action string, next_state string")
-    kind = F.when(F.col("event_type").isin("click", "view"), "navigate").when(F.col("event_type") == "purchase", "stop").otherwise("question")
-    state = F.get(F.array(F.lit("idle"), F.lit("moving"), F.lit("speaking")), (F.col("user_id") % 3).cast("int"))
-    events = read_table(spark, d, "events").select(kind.alias("event"), state.alias("state"))
-    return events.join(F.broadcast(rules), ["state", "event"]).groupBy("state", "event", "action").agg(F.count(F.lit(1)).alias("n"))
+    """What each event does to a robot whose state goes by the user's number, with as many waiting as the event's number says."""
+    kind = F.when(F.col("event_type").isin("click", "view"), "navigate").when(F.col("event_type") == "purchase", "meta").otherwise("question")
+    state = F.get(F.array(*map(F.lit, STATES)), (F.col("user_id") % 5).cast("int"))
+    events = read_table(spark, d, "events").select(kind.alias("event"), state.alias("state"), (F.col("event_id") % 6).alias("waiting"))
+    return intake.interrupts(events).groupBy("state", "event", "action").agg(F.count(F.lit(1)).alias("n"))
+
+
+def resume_stacks(spark, d):
+    state = F.when(F.col("role") == "user", "presenting").otherwise("answering")
+    moves = read_table(spark, d, "conversations").select(F.col("conv_id").alias("session"), "turn", state.alias("state"), (F.length("text") % 40).alias("page"))
+    return intake.resume_stack(moves).select("session", F.array_join(F.col("stack").cast("array<string>"), ",").alias("stack"))
+
+
+def overdue_questions(spark, d):
+    events = read_table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("arrived"))
+    last = events.agg(F.max("arrived").alias("now"))
+    return intake.overdue(events.crossJoin(F.broadcast(last)), F.col("now"), 86400.0).filter("overdue").select("id")
 
 
 def gate_replies(spark, d):
@@ -107,7 +121,7 @@ def gate_replies(spark, d):
 
 QUERIES = [
     fastpath_commands, query_expansion, page_labels, context_dedup, grounding_check, rate_limit, burst_coalesce, queue_priority, dedup_count,
-    session_pages, interrupt_matrix, gate_replies,
+    session_pages, interrupt_matrix, gate_replies, resume_stacks, overdue_questions,
 ]
 
 _text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
@@ -158,10 +172,20 @@ SQL = {
         s AS (SELECT conv_id, greatest(1, least(5, 1 + move)) AS page, i, n FROM t WHERE i = 1
           UNION ALL SELECT t.conv_id, greatest(1, least(5, s.page + t.move)), t.i, t.n FROM s JOIN t ON t.conv_id = s.conv_id AND t.i = s.i + 1)
         SELECT conv_id, page AS last_page, n AS n_turns FROM s WHERE i = n""",
-    "interrupt_matrix": f"""WITH r AS (SELECT * FROM (VALUES {", ".join(str(r) for r in intake.INTERRUPTS)}) v(state, event, action, nx)),
-        e AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'navigate' WHEN event_type = 'purchase' THEN 'stop' ELSE 'question' END AS event,
-          ['idle', 'moving', 'speaking'][user_id % 3 + 1] AS state FROM events)
-        SELECT state, event, action, count(*) AS n FROM e JOIN r USING (state, event) GROUP BY ALL""",
+    "interrupt_matrix": """WITH e AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'navigate' WHEN event_type = 'purchase' THEN 'meta' ELSE 'question' END AS event,
+          ['presenting', 'answering', 'navigating', 'paused', 'escalated'][user_id % 5 + 1] AS state, event_id % 6 AS waiting FROM events)
+        SELECT state, event, CASE
+            WHEN state = 'navigating' THEN 'wait_for_ack'
+            WHEN state = 'paused' THEN 'handle'
+            WHEN state = 'escalated' THEN 'queue'
+            WHEN event = 'navigate' THEN 'interrupt'
+            WHEN state = 'answering' THEN 'queue'
+            WHEN event = 'meta' THEN 'apply'
+            WHEN waiting > 3 THEN 'interrupt'
+            ELSE 'wait_for_page' END AS action, count(*) AS n FROM e GROUP BY ALL""",
+    "resume_stacks": """WITH p AS (SELECT conv_id, list(length(text) % 40 ORDER BY turn) FILTER (role = 'user') AS ps FROM conversations GROUP BY conv_id)
+        SELECT conv_id AS session, CASE WHEN ps IS NULL THEN '' WHEN len(ps) <= 2 THEN array_to_string(ps, ',') ELSE ps[1] || ',' || ps[-1] END AS stack FROM p""",
+    "overdue_questions": "SELECT event_id AS id FROM events WHERE (SELECT max(ts) FROM events) - ts > INTERVAL 1 DAY",
     "gate_replies": search.BOTH + """, h AS (SELECT * FROM hits WHERE mode = 'hybrid'), p1 AS (SELECT qid, page FROM h WHERE pos = 1)
         SELECT h.qid, 'ask_back' AS action, h.page || ',' || p1.page AS candidates FROM h JOIN p1 USING (qid) WHERE pos = 2""",
 }

@@ -36,7 +36,7 @@ def dense(spark: SparkSession, d: str, corpus: DataFrame | None = None) -> DataF
     v = unit_vectors(spark, d)
     asked = questions(spark, d).select("qid").join(v.select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid")
     there = v.join((corpus or documents(spark, d)).select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return ranking.ranked(vectors.knn_scores(asked, there.select("id", "v")))
+    return ranking.ranked(vectors.knn_scores(asked, there.select("id", "v"), ranking.POOL))
 
 
 def wanted(spark: SparkSession, d: str) -> DataFrame:
@@ -62,8 +62,7 @@ def tokenize_terms(spark, d):
 
 
 def term_stats(spark, d):
-    posts = bm25.postings(documents(spark, d), "doc_id", "text")
-    return bm25.term_stats(posts, bm25.corpus_size(documents(spark, d), "text")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.vocabulary(bm25.cut(documents(spark, d), "doc_id", "text")).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, d):
@@ -79,7 +78,7 @@ def knn_topk_filtered(spark, d):
 
     v = unit_vectors(spark, d)
     asked = questions(spark, d).select("qid").join(v.select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid")
-    scored = vectors.knn_scores(asked, v.filter(where({"label": [1, 3, 5]})).select("id", "v"))
+    scored = vectors.knn_scores(asked, v.filter(where({"label": [1, 3, 5]})).select("id", "v"), 10)
     return ranking.ranked(scored, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -191,7 +190,7 @@ def self_retrieval_audit(spark, d):
 def ann_exact_mismatch(spark, d):
     v = unit_vectors(spark, d).select("id", "v")
     asked = questions(spark, d).select("qid").join(v.select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid")
-    exact = ranking.ranked(vectors.knn_scores(asked, v), 5)
+    exact = ranking.ranked(vectors.knn_scores(asked, v, 5), 5)
     near = ranking.ranked(vectors.approximate_scores(asked, v, planes=4, tables=24), 5)
     return evaluation.disagreements(exact, near)
 
@@ -205,10 +204,10 @@ QUERIES = [
 TERMS = "list_filter(string_split_regex(lower({0}), '[^0-9A-Za-zÀ-ỹ]+'), lambda x: length(x) > 1 OR regexp_matches(x, '^[0-9]+$'))"
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"
 POSTS = f"""
-toks AS (SELECT doc_id AS id, {TERMS.format("text")} AS ts FROM documents),
-posts AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM toks) GROUP BY ALL),
+toks AS MATERIALIZED (SELECT doc_id AS id, {TERMS.format("text")} AS ts FROM documents),
+posts AS MATERIALIZED (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM toks) GROUP BY ALL),
 corpus AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks),
-raws AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posts, corpus GROUP BY term),
+raws AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posts, corpus GROUP BY term),
 stats AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
 SCORED = POSTS + """,
 sq AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({terms}) AS term FROM ({asked})) GROUP BY ALL),

@@ -43,7 +43,7 @@ class MemoryIndex:
     def query(self, queries: DataFrame, k: int, where: dict | None = None) -> DataFrame:
         """queries(qid, qv): the filter comes before the ranking."""
         there = self.rows.filter(condition(where)).select("id", "v")
-        return ranking.ranked(vectors.knn_scores(queries, there), k)
+        return ranking.ranked(vectors.knn_scores(queries, there, k), k)
 
     def sync(self, rows: DataFrame) -> int:
         """Write the documents anew whose rows differ; the number of documents written."""
@@ -55,7 +55,8 @@ class MemoryIndex:
 
 
 class ParquetIndex(MemoryIndex):
-    """The same in files, a partition for each document; what changes is written document by document."""
+    """The same in files, a partition for each document; what changes is written document by document, and a document that
+    has no rows left loses its partition."""
 
     def __init__(self, spark: SparkSession, root: str, model_id: str, schema: str) -> None:
         self.spark, self.path, self.schema = spark, f"{root.rstrip('/')}/{collection_name(model_id)}", schema
@@ -65,21 +66,44 @@ class ParquetIndex(MemoryIndex):
     def _read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def _remove(self, docs: DataFrame) -> None:
+        """Delete the partitions of a few documents; where a name has marks, Spark's own escapes tell the folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        utils = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        for row in docs.toLocalIterator():
+            name = utils.getPartitionPathString("doc_id", None if row["doc_id"] is None else str(row["doc_id"]))
+            files.delete(path(f"{self.path}/{name}"), True)
+
     def _rewrite(self, rows: DataFrame, docs: DataFrame) -> None:
-        """Replace the partitions of ``docs`` by ``rows``; a document without rows is removed by its own empty write."""
+        """Replace the partitions of ``docs`` by ``rows``. Partitions without new rows stay in an overwrite, so they are
+        deleted after it."""
+        docs = self.spark.createDataFrame(docs.collect(), docs.schema)  # what changed, once and for all
         kept = rows.join(docs, "doc_id", "left_semi").select(*self.rows.columns)
         staged = f"{self.path}__staged"
         kept.write.mode("overwrite").parquet(staged)
-        self.spark.read.schema(self.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(self.path)
+        fresh = self.spark.read.schema(self.schema).parquet(staged)
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").parquet(self.path)
+        self._remove(docs.join(fresh.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(fresh["doc_id"]), "left_anti"))
+        self.spark.catalog.refreshByPath(self.path)
         self.rows = self._read()
 
     def upsert(self, rows: DataFrame) -> None:
-        self._rewrite(store.upsert(self._read(), rows, "id"), rows.select("doc_id").distinct())
+        """A row that moves to another document leaves the one that had it."""
+        old = self._read()
+        touched = rows.select("doc_id").unionByName(old.join(rows.select("id"), "id", "left_semi").select("doc_id"))
+        self._rewrite(store.upsert(old, rows, "id"), touched.distinct())
+
+    def delete(self, ids: DataFrame) -> None:
+        old = self._read()
+        touched = old.join(ids.select("id"), "id", "left_semi").select("doc_id").distinct()
+        self._rewrite(old.join(ids.select("id"), "id", "left_anti"), touched)
 
     def sync(self, rows: DataFrame) -> int:
         changed = store.sync_diff(self._read(), rows, "doc_id", "id").filter("rewrite").select("doc_id")
         n = changed.count()
-        self._rewrite(rows, changed)
+        if n:
+            self._rewrite(rows, changed)
         return n
 
 

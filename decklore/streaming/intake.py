@@ -97,20 +97,52 @@ def queue(waiting: DataFrame, part: list[str], size: int = QUEUE_SIZE) -> DataFr
     return kept.withColumn("pos", F.row_number().over(served))
 
 
-#: What an event does in a state: rows of (state, event, action, next state).
+#: Questions that wait while a page is read; with more than these one is answered at once, at the sentence's end.
+MOST_WAITING, STACK_DEPTH = 3, 2
+# What a robot in a state does with what arrives.
 INTERRUPTS = [
-    ("speaking", "question", "queue", "speaking"),
-    ("speaking", "navigate", "stop", "moving"),
-    ("speaking", "stop", "stop", "idle"),
-    ("moving", "question", "queue", "moving"),
-    ("moving", "navigate", "replace", "moving"),
-    ("moving", "stop", "stop", "idle"),
-    ("idle", "question", "answer", "speaking"),
-    ("idle", "navigate", "move", "moving"),
-    ("idle", "stop", "ignore", "idle"),
+    ("presenting", "navigate", "interrupt"),
+    ("presenting", "question", "wait_for_page"),
+    ("presenting", "meta", "apply"),
+    ("answering", "question", "queue"),
+    ("answering", "navigate", "interrupt"),
+    ("answering", "meta", "queue"),
+    ("navigating", "navigate", "wait_for_ack"),
+    ("navigating", "question", "wait_for_ack"),
+    ("navigating", "meta", "wait_for_ack"),
+    ("paused", "navigate", "handle"),
+    ("paused", "question", "handle"),
+    ("paused", "meta", "handle"),
+    ("escalated", "navigate", "queue"),
+    ("escalated", "question", "queue"),
+    ("escalated", "meta", "queue"),
 ]
 
 
+def interrupts(arrivals: DataFrame) -> DataFrame:
+    """arrivals(state, event, waiting) with what is done: a question waits for the page's end unless too many wait already.
+    What no rule names is queued."""
+    rules = arrivals.sparkSession.createDataFrame(INTERRUPTS, "state string, event string, rule string")
+    many = (F.col("rule") == "wait_for_page") & (F.col("waiting") > MOST_WAITING)
+    action = F.when(many, "interrupt").otherwise(F.coalesce("rule", F.lit("queue")))
+    return arrivals.join(F.broadcast(rules), ["state", "event"], "left").withColumn("action", action).drop("rule")
+
+
+def overdue(waiting: DataFrame, now: Column, seconds: float = WAIT_SECONDS) -> DataFrame:
+    """waiting(id, arrived) with whether it has waited so long that its sender is told and it goes first."""
+    age = now.cast("timestamp").cast("double") - F.col("arrived").cast("timestamp").cast("double")
+    return waiting.withColumn("overdue", age > seconds)
+
+
+def resume_stack(moves: DataFrame, depth: int = STACK_DEPTH) -> DataFrame:
+    """moves(session, turn, state, page): the pages to come back to after each session's moves. A page is pushed only when
+    navigation leaves a page that is being presented; the first page and the latest ones stay."""
+    left = F.sort_array(F.collect_list(F.when(F.col("state") == "presenting", F.struct("turn", "page"))))
+    pages = F.transform(left, lambda x: x["page"])
+    kept = F.when(F.size(pages) <= depth, pages).otherwise(F.concat(F.slice(pages, 1, 1), F.slice(pages, F.size(pages) - depth + 2, depth - 1)))
+    return moves.groupBy("session").agg(kept.alias("stack"))
+
+
 def session_pages(turns: DataFrame, n_pages: int) -> DataFrame:
     """turns(conv_id, turn, move): the page after each turn, from page 1 on: moves add up, within 1..n_pages. A session is
     folded in order."""

@@ -69,3 +69,26 @@ def test_chat_gives_up_json_for_good():
 def test_command_line(spark, sf, tmp_path):
     assert cli.main(["flags_rules", sf, "--out", str(tmp_path / "f")]) in (0, 3)
     assert cli.main(["metadata_filter", sf, "--rows", "1"]) == 0
+
+
+def test_parquet_index_removes_from_its_files(spark, tmp_path):
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def made(*ids):
+        known = [{"id": i, "doc_id": d, "v": [1.0, 0.0]} for d, i in ids]
+        return spark.createDataFrame([tuple(r.get(n) for n in names) for r in known], SCHEMA).select(*cols)
+
+    index = stores.create("parquet", spark, str(tmp_path), "m", SCHEMA)
+    cols = index.rows.columns
+    files = lambda: sorted((r["doc_id"], r["id"]) for r in spark.read.schema(SCHEMA).parquet(index.path).select("doc_id", "id").collect())
+    every = [("a b", "1"), ("a b", "2"), ("c/d", "3"), ("e", "4")]
+    assert index.sync(made(*every)) == 3 and files() == every
+    assert index.sync(made(*every[:2])) == 2 and files() == every[:2]
+    assert index.sync(made(*every[:2])) == 0
+    index.delete(spark.createDataFrame([("1",)], "id string"))
+    assert files() == [("a b", "2")]
+    index.delete(spark.createDataFrame([("2",)], "id string"))
+    assert files() == [] and index.rows.count() == 0
+    index.upsert(made(("a b", "1")))
+    index.upsert(made(("e", "1")))
+    assert files() == [("e", "1")]
