@@ -7,16 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from decklore.functions.text import terms
+from decklore.sources.tables import spread
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
-def spread(chunks: DataFrame) -> DataFrame:
-    """Dealt over all cores where there are fewer partitions: cutting text into terms is what costs."""
-    cores = chunks.sparkSession.sparkContext.defaultParallelism
-    return chunks.repartition(cores) if chunks.rdd.getNumPartitions() < cores else chunks
-
-
 def cut(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, ts: the terms of each chunk."""
     slim = spread(chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))

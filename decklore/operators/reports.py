@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from decklore.operators.scripts import LETTER_NAMES
+
 
 def markdown_table(rows: DataFrame, columns: list[str], order: list[Column | str]) -> DataFrame:
     """One row: the rows as a Markdown table, in order. For reports of a bounded number of rows."""
@@ -42,7 +44,13 @@ def document_report(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _spelled(term: Column) -> Column:
+    """An abbreviation by the names of its letters and digits."""
+    names = F.create_map(*[F.lit(x) for pair in LETTER_NAMES.items() for x in pair])
+    return F.array_join(F.transform(F.split(F.lower(term), ""), lambda c: F.coalesce(F.try_element_at(names, c), c)), " ")
+
+
 def merged_terms(store: DataFrame, found: DataFrame) -> DataFrame:
     """A store of terms (term, say, by) with the ones it lacks, guessed: human rows stay; sorted by the lower case."""
-    new = found.join(store, "term", "left_anti").select("term", F.array_join(F.split("term", ""), " ").alias("say"), F.lit("auto").alias("by"))
+    new = found.join(store, "term", "left_anti").select("term", _spelled(F.col("term")).alias("say"), F.lit("auto").alias("by"))
     return store.select("term", "say", "by").unionByName(new).orderBy(F.lower("term"), "term")

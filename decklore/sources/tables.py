@@ -37,3 +37,9 @@ def as_json_line(df: DataFrame) -> DataFrame:
     """Each row as a JSON object without nulls and empty arrays."""
     cols = [F.when(F.size(c) > 0, F.col(c)).alias(c) if t.startswith(("array", "map")) else F.col(c) for c, t in df.dtypes]
     return df.select(F.to_json(F.struct(*cols)).alias("value"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Dealt over all cores where there are fewer partitions: one file is one task otherwise."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -105,7 +105,7 @@ def test_reports(spark):
     assert (r["n_pages"], r["ungrounded"], r["delivery_share"], r["seconds"], r["red_pages"]) == (2, 0.5, 0.5, 12.0, [2])
     store = spark.createDataFrame([("NASA", "na xa", "nguoi")], "term string, say string, by string")
     found = spark.createDataFrame([("NASA",), ("ab",)], "term string")
-    assert [tuple(x) for x in reports.merged_terms(store, found).collect()] == [("ab", "a b", "auto"), ("NASA", "na xa", "nguoi")]
+    assert [tuple(x) for x in reports.merged_terms(store, found).collect()] == [("ab", "a bê", "auto"), ("NASA", "na xa", "nguoi")]
     blocks = spark.createDataFrame([("d", "image", None, None), ("d", "image", "seen", ["u"]), ("d", "table", "x", [])], "doc_id string, kind string, content string, urls array<string>")
     assert tuple(reports.document_report(blocks).first())[1:] == (3, 1, 2, 1, 1)
 
