@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the retrieval rules.
 TERM_BREAK = "[^0-9A-Za-zÀ-ỹ]+"
+#: Runs of those, two characters at least, or one digit.
+TERM = "[0-9A-Za-zÀ-ỹ]{2,}|[0-9]"
 CITATION = r"(?i)\s*[\[(](?:slide|trang)\s*\d+[\])]"
 URL_LINE = r"^(?:https?://|www\.)\S+$"
 SPOKEN_URL = r"https?://|www\."
@@ -31,7 +33,7 @@ FOLDS = {
 
 def terms(text: Column) -> Column:
     """Search terms: lower case, cut at anything but digits and letters; single characters only if digits."""
-    return F.filter(F.split(F.lower(text), TERM_BREAK), lambda t: (F.length(t) > 1) | t.rlike("^[0-9]+$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
 def one_space(text: Column) -> Column:

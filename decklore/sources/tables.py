@@ -42,4 +42,4 @@ def as_json_line(df: DataFrame) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """Dealt over all cores where there are fewer partitions: one file is one task otherwise."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores, rows.columns[0]) if rows.rdd.getNumPartitions() < cores else rows
