@@ -56,8 +56,11 @@ x0 AS (SELECT *, sum(gap + size) OVER (PARTITION BY r, k ORDER BY i) AS e FROM m
 pt AS (SELECT r, k, CAST(e - size AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM x0 WHERE val >= ({least})[k + 1]),
 base AS (SELECT * FROM pt WHERE k < 3),
 weak AS (SELECT * FROM pt x WHERE k >= 3 AND NOT EXISTS (SELECT 1 FROM base y WHERE {near(0)})),
+named AS (SELECT * FROM base WHERE k = 1
+  UNION ALL SELECT * FROM pt x WHERE k = 3 AND EXISTS (SELECT 1 FROM base y WHERE y.k = 1 AND {near(0)})),
 fin AS (SELECT * FROM base
-  UNION ALL SELECT * FROM weak x WHERE k = 4 AND EXISTS (SELECT 1 FROM weak y WHERE y.k IN (3, 5) AND {near(secrets.SCOPE)})
+  UNION ALL SELECT * FROM weak x WHERE k = 4 AND (EXISTS (SELECT 1 FROM weak y WHERE y.k IN (3, 5) AND {near(secrets.SCOPE)})
+    OR EXISTS (SELECT 1 FROM named y WHERE {near(secrets.SCOPE)}))
   UNION ALL SELECT * FROM weak x WHERE k IN (3, 5) AND EXISTS (SELECT 1 FROM (SELECT * FROM base UNION ALL SELECT * FROM weak WHERE k = 4) y WHERE {near(secrets.SCOPE)})),
 g AS (SELECT r, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c,
   string_agg(({names})[k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e) FILTER (k < 3) AS bs,
