@@ -125,6 +125,11 @@ def flags(pages: DataFrame, blocks: DataFrame, sections: DataFrame) -> DataFrame
     return empty.unionByName(images).unionByName(tables).unionByName(failed).unionByName(bare)
 
 
+def flag_counts(flags: DataFrame) -> DataFrame:
+    """flags to kind, n."""
+    return flags.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def flag_order() -> list[Column]:
     level = F.coalesce(*[F.when(F.col("severity") == k, v) for k, v in SEVERITY.items()])
     return [level, F.coalesce("page_no", F.lit(0)), F.col("kind"), F.coalesce("block_id", F.lit(""))]

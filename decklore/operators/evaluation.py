@@ -71,6 +71,15 @@ def grid_pages(dense: DataFrame, sparse: DataFrame, pages: DataFrame, configs: D
     return best.withColumn("pos", F.row_number().over(order))
 
 
+def ordered_configurations(counted: DataFrame) -> DataFrame:
+    """counters by k, wd, ws, with pos, the best first (top5, top1, top3, mrr, then the configuration), and whether it is the
+    best: the first that takes both branches. There are as many rows as configurations."""
+    order = [F.desc("top5"), F.desc("top1"), F.desc("top3"), F.desc("mrr"), "k", "wd", "ws"]
+    both = (F.col("wd") > 0) & (F.col("ws") > 0)
+    first = F.row_number().over(Window.partitionBy(both).orderBy(*order)) == 1
+    return counted.withColumn("pos", F.row_number().over(Window.orderBy(*order))).withColumn("best", both & first)
+
+
 def gained_lost(hits: DataFrame, base: dict[str, float], top: int = TOP) -> DataFrame:
     """hits(k, wd, ws, qid, rank): for each configuration the queries in the top that the base misses, and the reverse."""
     good = hits.filter(F.col("rank") <= top).select("k", "wd", "ws", "qid")

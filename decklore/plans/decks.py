@@ -133,6 +133,14 @@ def link_role(spark, d):
     return per.select("page_id", tx.link_role(F.array_join(lines, "\n")).alias("is_links"), F.size(lines).alias("n_lines"))
 
 
+def issue_code_lists(spark, d):
+    return scripts.issue_codes(_conversation_issues(spark, d))
+
+
+def flag_histogram(spark, d):
+    return dx.flag_counts(flags_rules(spark, d))
+
+
 def flags_rules(spark, d):
     """Documents are pages of the deck named by their source."""
     docs = _docs(spark, d)
@@ -187,15 +195,18 @@ def block_coverage(spark, d):
     return scripts.uncovered(blocks, told).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_uncovered"), F.min("id").alias("first_uncovered"))
 
 
-def script_issues(spark, d):
+def _conversation_issues(spark, d):
     """A script for each conversation: assistant turns tell the user turn before them, system turns deliver."""
     turns = read_table(spark, d, "conversations")
     blocks = turns.filter("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("id"), F.lit("paragraph").alias("kind"), F.lit("body").alias("role"), F.col("text").alias("content"))
     said = turns.filter("role <> 'user'").select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.when(F.col("role") == "assistant", "content").otherwise("delivery").alias("kind"), "text", (F.col("turn") - 1).alias("ref")
     )
-    found = scripts.issues(turns.select(F.col("conv_id").alias("doc_id")).distinct(), blocks, said)
-    return found.groupBy("code", "level").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_scripts"))
+    return scripts.issues(turns.select(F.col("conv_id").alias("doc_id")).distinct(), blocks, said)
+
+
+def script_issues(spark, d):
+    return _conversation_issues(spark, d).groupBy("code", "level").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_scripts"))
 
 
 def term_extraction(spark, d):
@@ -220,7 +231,7 @@ QUERIES = [
     chunk_stats, provenance_ratio, metadata_filter, store_sync_diff, store_upsert, embedding_cache_misses, sections_range_join,
     deck_map_islands, deck_map_text, fill_down, slide_type_rules, html_blocks, html_links, html_titles, link_overlap_argmax, link_role,
     flags_rules, patch_merge, heading_lines, slugify, chunk_pages, number_coverage, block_coverage, script_issues, term_extraction,
-    syllable_counts, dirty_propagation, prev_scripts_window,
+    syllable_counts, dirty_propagation, prev_scripts_window, flag_histogram, issue_code_lists,
 ]
 
 LINES = """ln AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS ord, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM
@@ -240,6 +251,13 @@ SLUG = """CASE WHEN trim(regexp_replace(lower(regexp_replace({0}, '[^0-9A-Za-z]+
 _values = lambda rows: ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 _dim = lambda i: f"(CAST(embedding[{i + 1}] AS DOUBLE) + 0.5)"
 _box = lambda i: f"least({_dim(i)}, {_dim(i + 1)}) AS l, greatest({_dim(i)}, {_dim(i + 1)}) AS r, least({_dim(i + 2)}, {_dim(i + 3)}) AS t, greatest({_dim(i + 2)}, {_dim(i + 3)}) AS b"
+FLAGS = """WITH p AS (SELECT source AS doc_id, CAST(doc_id AS INTEGER) AS page_no, n_chars, doc_id AS d, trim(text) AS t FROM documents),
+        b AS (SELECT *, 'b' || d AS id, CASE WHEN d % 5 = 0 THEN 'image' WHEN d % 5 = 1 THEN 'table' ELSE 'paragraph' END AS k FROM p WHERE n_chars > 100)
+        SELECT doc_id, 'empty_page' AS kind, 'warn' AS severity, page_no, CAST(NULL AS VARCHAR) AS block_id FROM p WHERE page_no NOT IN (SELECT page_no FROM b WHERE n_chars > 400 AND t <> '')
+        UNION ALL SELECT doc_id, 'image_not_described', 'warn', page_no, id FROM b WHERE k = 'image' AND n_chars <= 400
+        UNION ALL SELECT doc_id, 'table_empty', 'error', page_no, id FROM b WHERE k = 'table' AND (n_chars <= 400 OR t = '')
+        UNION ALL SELECT doc_id, 'layout_failed', 'error', page_no, NULL FROM p WHERE n_chars > 15000
+        UNION ALL SELECT DISTINCT source, 'no_sections', 'info', CAST(NULL AS INTEGER), NULL FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'en' AND n_chars > 12000)"""
 SQL = {
     "chunk_stats": """SELECT lang, count(*) AS n, min(t) AS low, quantile_cont(t, 0.5) AS mid, max(t) AS high, sum(t) AS total, count(*) FILTER (t > 500) AS n_over
         FROM (SELECT lang, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS t FROM documents) GROUP BY lang""",
@@ -282,13 +300,8 @@ SQL = {
     "link_role": f"""WITH {LINKS}, al AS (SELECT page_id, list_concat(list(url ORDER BY ord), list_filter(list_transform(list(text ORDER BY ord), lambda t: t || ' .'), lambda t: length(t) > 12)) AS x
           FROM lk GROUP BY page_id), fl AS (SELECT page_id, len(x) AS n_lines, list_filter(list_transform(x, lambda t: trim(t, ' ')), lambda t: t <> '') AS y FROM al)
         SELECT page_id, len(y) > 0 AND 2 * len(list_filter(y, lambda t: regexp_full_match(t, '(?:https?://|www\\.)\\S+'))) >= len(y) AS is_links, n_lines FROM fl""",
-    "flags_rules": """WITH p AS (SELECT source AS doc_id, CAST(doc_id AS INTEGER) AS page_no, n_chars, doc_id AS d, trim(text) AS t FROM documents),
-        b AS (SELECT *, 'b' || d AS id, CASE WHEN d % 5 = 0 THEN 'image' WHEN d % 5 = 1 THEN 'table' ELSE 'paragraph' END AS k FROM p WHERE n_chars > 100)
-        SELECT doc_id, 'empty_page' AS kind, 'warn' AS severity, page_no, CAST(NULL AS VARCHAR) AS block_id FROM p WHERE page_no NOT IN (SELECT page_no FROM b WHERE n_chars > 400 AND t <> '')
-        UNION ALL SELECT doc_id, 'image_not_described', 'warn', page_no, id FROM b WHERE k = 'image' AND n_chars <= 400
-        UNION ALL SELECT doc_id, 'table_empty', 'error', page_no, id FROM b WHERE k = 'table' AND (n_chars <= 400 OR t = '')
-        UNION ALL SELECT doc_id, 'layout_failed', 'error', page_no, NULL FROM p WHERE n_chars > 15000
-        UNION ALL SELECT DISTINCT source, 'no_sections', 'info', CAST(NULL AS INTEGER), NULL FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'en' AND n_chars > 12000)""",
+    "flag_histogram": "SELECT kind, count(*) AS n FROM (" + FLAGS + ") GROUP BY kind",
+    "flags_rules": FLAGS,
     "patch_merge": """SELECT source AS doc_id, doc_id AS id, CASE WHEN lang = 'es' THEN 'patched' ELSE lang END AS content FROM documents WHERE lang <> 'fr'
         UNION ALL SELECT source, doc_id + 1000000000, 'added' FROM documents WHERE lang = 'de'""",
     "heading_lines": f"""WITH {LINES}, al AS (SELECT doc_id, line FROM ln UNION ALL SELECT d, l FROM (VALUES {_values(EXTRA_LINES)}) v(d, o, l))

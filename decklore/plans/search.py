@@ -168,6 +168,10 @@ def tune_grid(spark, d):
     return evaluation.counters(hits, asked, ["k", "wd", "ws"])
 
 
+def tune_order(spark, d):
+    return evaluation.ordered_configurations(tune_grid(spark, d)).select("k", "wd", "ws", "pos", "best")
+
+
 def tune_gained_lost(spark, d):
     return evaluation.gained_lost(_grid_hits(spark, d)[1], {"k": 15.0, "wd": 1.0, "ws": 1.0})
 
@@ -197,7 +201,7 @@ def ann_exact_mismatch(spark, d):
 
 QUERIES = [
     hybrid_search_pages, tokenize_terms, term_stats, bm25_topk, knn_topk, knn_topk_filtered, rrf_fusion, search_modes,
-    nav_vs_qa_search, confidence_gate, near_duplicates, exact_duplicates, anchor_eval, eval_counters, eval_by_type, tune_grid,
+    nav_vs_qa_search, confidence_gate, near_duplicates, exact_duplicates, anchor_eval, eval_counters, eval_by_type, tune_grid, tune_order,
     tune_gained_lost, self_retrieval_audit, ann_exact_mismatch,
 ]
 
@@ -282,6 +286,10 @@ SQL = {
         LEFT JOIN (SELECT * FROM firsts WHERE mode = 'hybrid') f ON f.qid = w.qid GROUP BY 1""",
     "tune_grid": GRID + f""" SELECT k, wd, ws, {COUNTS} FROM (SELECT DISTINCT CAST(k AS DOUBLE) AS k, CAST(wd AS DOUBLE) AS wd, CAST(ws AS DOUBLE) AS ws, qid
         FROM wanted, configs) LEFT JOIN gfirst USING (k, wd, ws, qid) GROUP BY k, wd, ws""",
+    "tune_order": GRID + f""", c AS (SELECT k, wd, ws, {COUNTS} FROM (SELECT DISTINCT CAST(k AS DOUBLE) AS k, CAST(wd AS DOUBLE) AS wd, CAST(ws AS DOUBLE) AS ws, qid
+        FROM wanted, configs) LEFT JOIN gfirst USING (k, wd, ws, qid) GROUP BY k, wd, ws),
+        o AS (SELECT *, row_number() OVER (ORDER BY top5 DESC, top1 DESC, top3 DESC, mrr DESC, k, wd, ws) AS pos FROM c)
+        SELECT k, wd, ws, pos, pos = (SELECT min(pos) FROM o WHERE wd > 0 AND ws > 0) AS best FROM o""",
     "tune_gained_lost": GRID + """, good AS (SELECT k, wd, ws, qid FROM gfirst WHERE rank <= 5),
         base AS (SELECT qid FROM good WHERE k = 15 AND wd = 1 AND ws = 1), cs AS (SELECT DISTINCT k, wd, ws FROM gfirst)
         SELECT k, wd, ws, coalesce(string_agg(CAST(qid AS VARCHAR), ',' ORDER BY qid) FILTER (NOT o), '') AS gained,

@@ -317,3 +317,12 @@ def test_model_scripts(spark):
     after = {r["doc_id"]: r[1] for r in scripts.term_hashes(used, store_.withColumn("say", F.when(F.col("term") == "AI", "a i").otherwise(F.col("say")))).collect()}
     assert before["a"] == after["a"] and before["b"] != after["b"]
     assert one(spark, scripts.red_flags(F.array(F.col("t"), F.lit("number_missing:3"))), t="bad_grounding:2") == ["bad_grounding:2"]
+
+
+def test_issue_codes(spark):
+    rows = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (2, "c")], "doc_id long, code string")
+    assert {tuple(r) for r in scripts.issue_codes(rows).collect()} == {(1, "a,b"), (2, "c")}
+
+
+def test_spelled():
+    assert scripts.spelled("CBNV") == "xê bê en vê" and scripts.spelled("T7") == "tê bảy"
