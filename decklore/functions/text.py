@@ -56,8 +56,8 @@ def slug(text: Column) -> Column:
 
 
 def lines(text: Column) -> Column:
-    """Lines that aren't blank, trimmed."""
-    return F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    """Lines that aren't blank, trimmed of spaces. (Given F.trim itself, transform would pass a line's number as what to trim.)"""
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_heading(line: Column) -> Column:

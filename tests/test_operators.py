@@ -104,6 +104,11 @@ def test_fill_down(spark):
     assert [r["filled"] for r in got.collect()] == ["Head", "", "a", "a", "", "", "b", "b"]
 
 
+def test_lines_keep_digits_that_equal_their_number(spark):
+    docs = spark.createDataFrame([(1, "0997523947200 \n 1 \n\n  33x3 "), (2, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["ord"], r["line"]) for r in dx.block_lines(docs).collect()] == [(1, 0, "0997523947200"), (1, 1, "1"), (1, 2, "33x3")]
+
+
 def test_patch_and_empty_blocks(spark):
     blocks = spark.createDataFrame([("d", "a", "x"), ("d", "b", None), ("d", "c", "y")], "doc_id string, id string, content string")
     key = "doc_id string, id string"
