@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from decklore.functions.numeric import overlap
 from decklore.functions.text import lines, page_span
 
 # Page-type geometry, outline detection, image area.
 TITLE_LOW, TITLE_LEFT, TITLE_RIGHT = 0.30, 0.35, 0.65
 OUTLINE_PAGES, OUTLINE_ITEMS, OUTLINE_FOUND, OUTLINE_SHARE = 5, 3, 2, 0.60
 SMALL_IMAGE = 0.05
+#: Boxes of a page's part, and how many links and blocks a tile of areas has.
+MEET, TILE = 8192, (64, 2048)
 SEVERITY = {"error": 0, "warn": 1, "info": 2}
 
 
@@ -86,14 +90,51 @@ def fill_down(cells: DataFrame) -> DataFrame:
     return marked.withColumn("filled", F.when(takes, F.coalesce(above, "first_cell")).otherwise(F.col("first_cell"))).drop("chain")
 
 
+def _dealt(boxes: DataFrame, id_col: str, other: DataFrame, part: str, with_part: str) -> DataFrame:
+    """Boxes in parts of about MEET a page, each repeated for every part that ``other`` has of the page."""
+    n = lambda df, c: df.groupBy("page_id").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias(c))
+    sized = boxes.join(n(boxes, "own"), "page_id").join(n(other, "met"), "page_id")
+    dealt = sized.withColumn(part, F.pmod(F.xxhash64(id_col), F.col("own")).cast("int"))
+    return dealt.withColumn(with_part, F.explode(F.sequence(F.lit(0), F.col("met") - 1))).drop("own", "met")
+
+
 def link_blocks(links: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The block of a page with the largest area under each link; none if nothing overlaps. Boxes are l, t, r, b."""
-    l = links.select("page_id", "link_id", *[F.col(c).alias(f"l_{c}") for c in "ltrb"])
-    b = blocks.select("page_id", "block_id", "block_ord", *[F.col(c).alias(f"b_{c}") for c in "ltrb"])
-    side = lambda p: {c: F.col(f"{p}_{c}") for c in "ltrb"}
-    met = l.join(b, "page_id").withColumn("area", overlap(side("l"), side("b"))).filter("area > 0")
-    best = Window.partitionBy("page_id", "link_id").orderBy(F.desc("area"), "block_ord")
-    return met.withColumn("r", F.row_number().over(best)).filter("r = 1").select("page_id", "link_id", "block_id", F.round("area", 6).alias("area"))
+    """The block of a page with the largest area under each link; none if nothing overlaps. Boxes are l, t, r, b.
+
+    All links of a page meet all its blocks, but in parts, a task each, which returns one block for each of its links: what is
+    shuffled are the boxes, once for each part of the other side, and not the pairs."""
+    kinds = {c: links.schema[c].dataType.simpleString() for c in ("page_id", "link_id")} | {c: blocks.schema[c].dataType.simpleString() for c in ("block_id", "block_ord")}
+    sides = [F.col(c).cast("double").alias(c) for c in "ltrb"]
+    l = _dealt(links.select("page_id", "link_id", *sides), "link_id", blocks, "lp", "bp")  # noqa: E741
+    b = _dealt(blocks.select("page_id", "block_id", "block_ord", *sides), "block_id", links, "bp", "lp")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, sort_keys=[("block_ord", "ascending")], null_placement="at_start"))
+        box = lambda t: {c: t.column(c).to_numpy() for c in "ltrb"}
+        a, o = box(left), box(right)
+        area, at = np.zeros(len(left)), np.zeros(len(left), np.int64)
+        rows, columns = np.arange(TILE[0]), len(right)
+        for i in range(0, len(left), TILE[0]):
+            mine = {c: v[i : i + TILE[0], None] for c, v in a.items()}
+            some = slice(i, i + len(mine["l"]))
+            for j in range(0, columns, TILE[1]):
+                theirs = {c: v[None, j : j + TILE[1]] for c, v in o.items()}
+                w = np.fmin(mine["r"], theirs["r"]) - np.fmax(mine["l"], theirs["l"])
+                h = np.fmin(mine["b"], theirs["b"]) - np.fmax(mine["t"], theirs["t"])
+                both = np.fmax(w, 0.0) * np.fmax(h, 0.0)
+                best = both.argmax(axis=1)  # the first of equals, which is first in order
+                most = both[rows[: len(best)], best]
+                more = most > area[some]
+                area[some] = np.where(more, most, area[some])
+                at[some] = np.where(more, best + j, at[some])
+        hit = pa.array(np.flatnonzero(area > 0))
+        chosen = right.select(["block_id", "block_ord"]).take(pa.array(at).take(hit))
+        return pa.table({**{c: left.column(c).take(hit) for c in ("page_id", "link_id")}, **{c: chosen.column(c) for c in chosen.column_names}, "area": pa.array(area).take(hit)})
+
+    key = ["page_id", "lp", "bp"]
+    met = l.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(meet, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", area double")
+    best = F.min(F.struct(-F.col("area"), "block_ord", "block_id", "area")).alias("x")
+    return met.groupBy("page_id", "link_id").agg(best).select("page_id", "link_id", "x.block_id", F.round("x.area", 6).alias("area"))
 
 
 def slide_type(blocks: DataFrame) -> DataFrame:
