@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from decklore.functions.numeric import dot
-
 #: Vectors of a block; blocks meet as matrices.
 BLOCK = 2048
 
@@ -29,9 +27,9 @@ def _packed(vectors: DataFrame, id_col: str, v_col: str, names: tuple[str, str])
     return vectors.select(id_col, v_col).mapInArrow(run, f"{names[0]} array<{kind}>, {names[1]} binary")
 
 
-def knn_scores(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
+def knn_scores(queries: DataFrame, vectors: DataFrame, k: int | None = None, among: Callable | None = None) -> DataFrame:
     """queries(qid, qv) x vectors(id, v), unit length, to qid, id, score; with ``k`` only what may be among the best k of a
-    query (by score to 9 places, then id). All vectors are scored: a block of queries meets a block of vectors as a matrix
+    query (by score to 9 places, then id). All vectors are scored, or those that ``among`` (query and vector matrices to a mask) lets by: a block of queries meets a block of vectors as a matrix
     product. The query set is stated by the caller; its blocks go wherever Spark's size check sends them."""
     asked, there = _packed(queries, "qid", "qv", ("qids", "qm")), _packed(vectors, "id", "v", ("ids", "m"))
 
@@ -40,12 +38,17 @@ def knn_scores(queries: DataFrame, vectors: DataFrame, k: int | None = None) ->
             for row in range(batch.num_rows):
                 qids, ids = batch.column("qids")[row].values, batch.column("ids")[row].values
                 qm, m = (np.frombuffer(batch.column(c)[row].as_py(), "<f8") for c in ("qm", "m"))
-                sims = qm.reshape(len(qids), -1) @ m.reshape(len(ids), -1).T
+                qm, m = qm.reshape(len(qids), -1), m.reshape(len(ids), -1)
+                sims = qm @ m.T
+                if among:
+                    sims[~among(qm, m)] = -np.inf
                 i, j = np.divmod(np.arange(sims.size), len(ids))
                 if k is not None and k < len(ids):
                     by_id = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"))
                     j = np.lexsort((np.broadcast_to(by_id, sims.shape), -np.round(sims, 9)), axis=1)[:, :k].reshape(-1)
                     i = np.repeat(np.arange(len(qids)), k)
+                if among:
+                    i, j = i[(there := sims[i, j] > -np.inf)], j[there]
                 columns = [qids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(sims[i, j])]
                 yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "score"])
 
@@ -100,10 +103,22 @@ def signs_index(vectors: DataFrame, planes: int = 8, tables: int = 16, seed: int
     return vectors.select("id", "v").mapInArrow(run, "table int, bucket int, id long, v array<float>")
 
 
-def approximate_scores(queries: DataFrame, vectors: DataFrame, **options) -> DataFrame:
-    """Candidates that share a bucket, scored exactly."""
-    index = signs_index(vectors, **options)
-    asked = signs_index(queries.select(F.col("qid").alias("id"), F.col("qv").alias("v")), **options)
-    asked = asked.select("table", "bucket", F.col("id").alias("qid"), F.col("v").alias("qv"))
-    met = asked.join(index, ["table", "bucket"]).dropDuplicates(["qid", "id"])
-    return met.select("qid", "id", dot(F.col("qv"), F.col("v")).alias("score"))
+def _codes(m: np.ndarray, planes: int, tables: int, seed: int) -> np.ndarray:
+    """The bucket of each vector in each table, as signs_index has them."""
+    normal = np.random.default_rng(seed).normal(size=(m.shape[1], tables * planes))
+    return ((m @ normal > 0).reshape(len(m), tables, planes) * (1 << np.arange(planes))).sum(axis=2)
+
+
+def approximate_scores(queries: DataFrame, vectors: DataFrame, planes: int = 8, tables: int = 16, seed: int = 7, k: int | None = None) -> DataFrame:
+    """Candidates that share a bucket with a query in any table, scored exactly; with ``k`` only what may be among the best k.
+    A block of vectors meets a block of queries, so that candidates are found and scored where they are: few bits a table
+    make nearly every vector a candidate of some, and as rows those would all be shuffled."""
+
+    def shares(qm: np.ndarray, m: np.ndarray) -> np.ndarray:
+        asked, there = _codes(qm, planes, tables, seed), _codes(m, planes, tables, seed)
+        met = np.zeros((len(qm), len(m)), bool)
+        for t in range(tables):
+            met |= asked[:, t, None] == there[None, :, t]
+        return met
+
+    return knn_scores(queries, vectors, k, shares)
