@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from decklore.functions.numeric import RRF_K, TOP
 
-GRAM = 5
-
-
-def _grams(words: Column, first: int = 1) -> Column:
-    starts = F.sequence(F.lit(first), F.size(words) - GRAM + 1)
-    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, GRAM), " ")))
+#: Bytes of a text's window that anchors are looked up by, bits of the table of windows, positions looked at together.
+WINDOW, TABLE_BITS, POSITIONS = 8, 20, 1 << 20
+_spread = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
 
 
 def containing(texts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """texts(id, text), anchors(aid, anchor) to (aid, id) where the text contains the anchor.
+    """texts(id, text), anchors(aid, anchor) to (aid, id), one for each text that contains the anchor.
 
-    An anchor's words but its first and last are whole words of a text around it, so texts and long anchors meet on the
-    hash of the second to sixth word first. Anchors of fewer than seven words are compared with every text.
+    The anchors, a batch of questions, come to the driver. Each has a window of eight bytes from its middle; one pass over the
+    texts looks up all of theirs in a table of these, and only where one is found is the anchor compared as a whole. UTF-8
+    contains a text's bytes where the text contains the characters. Anchors of fewer bytes are searched in every text.
     """
-    split = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
-    long = anchors.withColumn("w", split("anchor"))
-    keyed = long.filter(F.size("w") >= GRAM + 2).withColumn("gram", F.xxhash64(F.array_join(F.slice("w", 2, GRAM), " ")))
-    grams = texts.withColumn("w", split("text")).filter(F.size("w") >= GRAM)
-    grams = grams.select("id", F.explode(F.array_distinct(_grams(F.col("w")))).alias("gram"))
-    near = grams.join(keyed.select("gram", "aid"), "gram").select("id", "aid").distinct()
-    met = near.join(texts, "id").join(anchors, "aid").filter(F.contains("text", "anchor"))
-    short = long.filter(F.size("w") < GRAM + 2).select("aid", "anchor")
-    rest = texts.join(short, F.contains(texts["text"], short["anchor"]))
-    return met.select("aid", "id").unionByName(rest.select("aid", "id"))
+    told = [(r["aid"], r["anchor"].encode()) for r in anchors.select("aid", "anchor").filter("anchor is not null").distinct().collect()]
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((anchors, "aid"), (texts, "id"))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = [x for x in told if len(x[1]) < WINDOW]
+        keyed: dict[int, list] = {}
+        for aid, anchor in told:
+            if len(anchor) >= WINDOW:
+                at = (len(anchor) - WINDOW) // 2
+                keyed.setdefault(int.from_bytes(anchor[at : at + WINDOW], "little"), []).append((aid, anchor, at))
+        keys = np.array(sorted(keyed), np.uint64)
+        table = np.zeros(1 << TABLE_BITS, bool)
+        table[_spread(keys)] = True
+        for batch in batches:
+            ids, texts = batch.column(0), [t.encode() for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([len(t) for t in texts])
+            data = b"".join(texts)
+            found = set()
+            for start in range(0, len(data) - WINDOW + 1 if len(keys) else 0, POSITIONS):
+                n = min(POSITIONS, len(data) - WINDOW + 1 - start)
+                windows = np.ndarray(n, "<u8", data, start, (1,))
+                some = np.flatnonzero(table[_spread(windows)])
+                for at in some[np.isin(windows[some], keys)] + start:
+                    row = int(np.searchsorted(ends, at, "right"))
+                    first = int(ends[row]) - len(texts[row])
+                    for aid, anchor, before in keyed[int.from_bytes(data[at : at + WINDOW], "little")]:
+                        if at - before >= first and texts[row].startswith(anchor, int(at) - before - first):
+                            found.add((aid, row))
+            found |= {(aid, row) for aid, anchor in short for row, t in enumerate(texts) if anchor in t}
+            aids, rows = zip(*sorted(found, key=lambda x: x[1]), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(aids, aid_type), ids.take(pa.array(rows, pa.int64()))], names=["aid", "id"])
+
+    aid_type = to_arrow_type(anchors.schema["aid"].dataType)
+    return texts.select("id", "text").filter("text is not null").mapInArrow(run, f"aid {kinds[0]}, id {kinds[1]}")
 
 
 def first_hits(pages: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
