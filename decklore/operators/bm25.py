@@ -1,29 +1,63 @@
-"""BM25 (Okapi) as tables: postings, lengths, term statistics. Built from the public formula with k1 1.5, b 0.75; a
-negative idf becomes a quarter of the mean idf over the vocabulary."""
+"""BM25 (Okapi): term statistics as a table, scores of a batch of questions in one pass over the chunks. Built from the public
+formula with k1 1.5, b 0.75; a negative idf becomes a quarter of the mean idf over the vocabulary."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from decklore.functions.text import terms
+from decklore.functions.text import TERM, terms
+from decklore.llm.common import forget, stage_table
 from decklore.sources.tables import spread
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Distinct terms that a task counts before it hands them on, cells of a block's term matrix, rows held before the best are cut out.
+HELD_TERMS, CELLS, HELD_ROWS = 1_000_000, 2_500_000, 300_000
+_found = re.compile(TERM).findall
 
 
 def cut(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, ts: the terms of each chunk."""
-    slim = spread(chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    return slim.select("id", terms(F.coalesce("text", F.lit(""))).alias("ts"))
+    """id, text: what is read of each chunk."""
+    return spread(chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """docs(id, ts) to term, df, idf, n, avgdl, in one pass: the entry of no term, which every chunk has, counts chunks and
-    sums lengths; chunks without terms count too."""
-    each = docs.select(F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("ts"))).alias("term"))
-    told = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("all"))
-    whole = told.filter("term = ''").select(F.col("df").alias("n"), (F.col("all") / F.col("df")).alias("avgdl"))
+def counted(docs: DataFrame) -> DataFrame:
+    """docs(id, text) to term, df, all, staged, for it is read three times and made in one pass: each task counts its terms; the
+    entry of no term counts chunks and sums lengths, chunks without terms too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            lengths = pa.array([0] * (len(df) - 1) + [total], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.string()), pa.array(df.values(), pa.int64()), lengths], names=["term", "df", "all"])
+
+        df, n, total = Counter(), 0, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                ts = _found((text or "").lower())
+                n, total = n + 1, total + len(ts)
+                df.update(set(ts))
+                if len(df) > HELD_TERMS:
+                    df[""] = n
+                    yield told()
+                    df, n, total = Counter(), 0, 0
+        df[""] = n
+        yield told()
+
+    parts = docs.select("text").mapInArrow(run, "term string, df long, all long")
+    return stage_table(parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("all").alias("all")), "terms")
+
+
+def statistics(told: DataFrame) -> DataFrame:
+    """What is ``counted`` to term, df, idf, n, avgdl."""
+    whole = told.filter("term = ''").select(F.col("df").alias("n"), (F.col("all") / F.nullif("df", F.lit(0))).alias("avgdl"))
     raw = told.filter("term <> ''").crossJoin(F.broadcast(whole))  # one row
     raw = raw.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -31,23 +65,106 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"), "n", "avgdl")
 
 
+def vocabulary(docs: DataFrame) -> DataFrame:
+    return statistics(counted(docs))
+
+
 def weight(tf: Column, dl: Column, avgdl: Column, idf: Column) -> Column:
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def scores(queries: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """queries(qid, q) to qid, id, score over 0. A term that a query repeats counts as often.
+def weights(queries: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Row]:
+    """queries(qid, q) to rows of qid, term, times, idf, avgdl, on the driver: the questions are a batch, and only their terms
+    come back. A term that a query repeats counts as often."""
+    asked = queries.select("qid", F.explode(terms(F.col("q"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
+    told = counted(cut(chunks, id_col, text_col))
+    found = statistics(told).join(F.broadcast(asked), "term").select("qid", "term", "times", "idf", "avgdl").collect()
+    forget(told)
+    return found
+
 
-    Terms that nobody asks for leave before they are counted by chunk, so what is joined to the queries is small.
-    """
+def scored(told: list[Row], qid_type: str, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+    """The chunks' scores over 0 under ``weights``: qid, id, score; with ``k`` each task returns only what may be among the best
+    k of a query (by score to 9 places, then id). Blocks of chunks meet the questions as a matrix product; chunks that share
+    an id are scored as one of the terms of all, where their lengths are equal, and summed otherwise."""
+    spark = chunks.sparkSession
+    many = chunks.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
     docs = cut(chunks, id_col, text_col)
-    asked = queries.select("qid", F.explode(terms(F.col("q"))).alias("term")).groupBy("qid", "term").agg(
-        F.count(F.lit(1)).alias("times")
-    )
-    wanted = asked.select("term").distinct()
-    posts = docs.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(wanted, "term", "left_semi")
+    kind = f"qid {qid_type}, id {docs.schema['id'].dataType.simpleString()}, score double"
+    none = spark.createDataFrame([], kind)
+    if not told:
+        return none
+    qid_arrow = to_arrow_type(none.schema["qid"].dataType)
+    alone = many.isEmpty()
+    single = docs
+    if not alone:
+        same = many.withColumnRenamed("id", "other")
+        meet = docs["id"].eqNullSafe(same["other"])
+        single, repeated = docs.join(same, meet, "left_anti"), docs.join(same, meet, "left_semi")
+    qids, names = list(dict.fromkeys(r["qid"] for r in told)), list(dict.fromkeys(r["term"] for r in told))
+    q_at, t_at = {q: i for i, q in enumerate(qids)}, {t: i for i, t in enumerate(names)}
+    cells = [(t_at[r["term"]], q_at[r["qid"]], r["times"] * r["idf"]) for r in told]
+    avgdl = told[0]["avgdl"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, to, value = (np.array(x) for x in zip(*cells, strict=True))
+        w = np.zeros((len(names), len(qids)))
+        w[at, to] = value
+        asked, least = pa.array(qids, qid_arrow), np.zeros(len(qids))
+        held: list[tuple] = []
+
+        def best() -> tuple:
+            q, s = (np.concatenate([h[i] for h in held]) for i in (0, 2))
+            ids = pa.chunked_array([h[1] for h in held]).combine_chunks()
+            rank = np.empty(len(ids), np.int64)
+            rank[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+            order = np.lexsort((rank, -np.round(s, 9), q))
+            q = q[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            order, q, place = order[place < k], q[place < k], place[place < k]
+            least[q[place == k - 1]] = s[order[place == k - 1]]
+            return q, ids.take(pa.array(order)), s[order]
+
+        def rows(q: np.ndarray, ids: pa.Array, s: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids, pa.array(s)], names=["qid", "id", "score"])
+
+        step = max(1, CELLS // len(names))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                n, columns, hits, lengths = part.num_rows, [], [], []
+                for text in part.column(1).to_pylist():
+                    ts = _found((text or "").lower())
+                    there = [c for c in map(t_at.get, ts) if c is not None]
+                    columns += there
+                    hits.append(len(there))
+                    lengths.append(len(ts))
+                norm = K1 * (1 - B + B * np.array(lengths) / avgdl)
+                key, tf = np.unique(np.repeat(np.arange(n), hits) * len(names) + np.array(columns, np.int64), return_counts=True)
+                x = np.zeros((n, len(names)))
+                x.reshape(-1)[key] = tf * (K1 + 1) / (tf + norm[key // len(names)])
+                sums = (x @ w).T
+                q, j = np.nonzero((sums > 0) & (sums >= least[:, None] - 2e-9))
+                some = (q, part.column(0).take(pa.array(j)), sums[q, j])
+                if k is None:
+                    yield rows(*some)
+                    continue
+                held.append(some)
+                if sum(len(h[0]) for h in held) > HELD_ROWS:
+                    held[:] = [best()]
+        if held:
+            yield rows(*best())
+
+    out = single.mapInArrow(run, kind)
+    if alone:
+        return out
+    table = spark.createDataFrame([tuple(r) for r in told], f"qid {qid_type}, term string, times long, idf double, avgdl double")
+    posts = repeated.select("id", terms(F.coalesce("text", F.lit(""))).alias("ts")).select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
     posts = posts.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    stats = vocabulary(docs).join(wanted, "term", "left_semi")
     one = F.col("times") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
-    found = posts.join(stats, "term").join(asked, "term")
-    return found.groupBy("qid", "id").agg(F.sum(one).alias("score")).filter("score > 0")
+    return out.unionByName(posts.join(table, "term").groupBy("qid", "id").agg(F.sum(one).alias("score")).filter("score > 0"))
+
+
+def scores(queries: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+    """queries(qid, q) to qid, id, score over 0; see ``weights`` and ``scored``."""
+    return scored(weights(queries, chunks, id_col, text_col), queries.schema["qid"].dataType.simpleString(), chunks, id_col, text_col, k)

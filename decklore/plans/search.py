@@ -29,7 +29,7 @@ def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.ranked(bm25.scores(questions(spark, d), documents(spark, d)))
+    return ranking.ranked(bm25.scores(questions(spark, d), documents(spark, d), k=ranking.POOL))
 
 
 def dense(spark: SparkSession, d: str, corpus: DataFrame | None = None) -> DataFrame:
@@ -102,10 +102,10 @@ def search_modes(spark, d):
 
 def nav_vs_qa_search(spark, d):
     """The filter goes below the ranking: navigation ranks all chunks, answers those that aren't short."""
-    sp = bm25.scores(questions(spark, d), documents(spark, d))
-    long = documents(spark, d).filter("n_chars >= 500").select(F.col("doc_id").alias("id"))
-    nav = ranking.ranked(sp, 5).withColumn("mode", F.lit("nav"))
-    qa = ranking.ranked(sp.join(long, "id", "left_semi"), 5).withColumn("mode", F.lit("qa"))
+    asked, docs = questions(spark, d), documents(spark, d)
+    told, kind = bm25.weights(asked, docs), asked.schema["qid"].dataType.simpleString()
+    nav = ranking.ranked(bm25.scored(told, kind, docs, k=5), 5).withColumn("mode", F.lit("nav"))
+    qa = ranking.ranked(bm25.scored(told, kind, docs.filter("n_chars >= 500"), k=5), 5).withColumn("mode", F.lit("qa"))
     return nav.unionByName(qa).select("mode", "qid", "id", "rank")
 
 
@@ -181,7 +181,7 @@ def self_retrieval_audit(spark, d):
     full = questions(spark, d)
     asked = full.select(F.col("qid"), F.lit("full").alias("mode"), "q").unionByName(full.select("qid", F.lit("start").alias("mode"), F.substring("q", 1, 80).alias("q")))
     keyed = asked.withColumn("qid", F.concat_ws("/", "mode", "qid"))
-    ranks = ranking.ranked(bm25.scores(keyed.select("qid", "q"), documents(spark, d)))
+    ranks = ranking.ranked(bm25.scores(keyed.select("qid", "q"), documents(spark, d), k=ranking.POOL))
     hits = ranks.join(pages(spark, d), "id").groupBy("qid", "page").agg(F.min("rank").alias("rank"))
     split = F.split("qid", "/")
     hits = hits.select(F.get(split, F.lit(0)).alias("mode"), F.get(split, F.lit(1)).cast("long").alias("qid"), "page", "rank")
@@ -195,7 +195,7 @@ def ann_exact_mismatch(spark, d):
     v = unit_vectors(spark, d).select("id", "v")
     asked = questions(spark, d).select("qid").join(v.select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid")
     exact = ranking.ranked(vectors.knn_scores(asked, v, 5), 5)
-    near = ranking.ranked(vectors.approximate_scores(asked, v, planes=4, tables=24), 5)
+    near = ranking.ranked(vectors.approximate_scores(asked, v, planes=4, tables=24, k=5), 5)
     return evaluation.disagreements(exact, near)
 
 
