@@ -3,8 +3,6 @@ formula with k1 1.5, b 0.75; a negative idf becomes a quarter of the mean idf ov
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,14 +12,65 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from decklore.functions.text import TERM, terms
+from decklore.functions.text import terms
 from decklore.llm.common import forget, stage_table
 from decklore.sources.tables import spread
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
-#: Distinct terms that a task counts before it hands them on, cells of a block's term matrix, rows held before the best are cut out.
-HELD_TERMS, CELLS, HELD_ROWS = 1_000_000, 2_500_000, 300_000
-_found = re.compile(TERM).findall
+#: Characters of a block of texts, cells of a block's term matrix, rows held before the best are cut out.
+BLOCK_CHARS, CELLS, HELD_ROWS = 4_000_000, 2_500_000, 300_000
+#: TERM's characters as UTF-8: the bytes that start one (those from C3 to DF lead two bytes, E0 and E1 three), and the length of
+#: a run of one character that is no term.
+_STARTS, _ALONE = np.zeros(256, bool), np.zeros(256, np.int64)
+_STARTS[[*b"0123456789", *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xE2)]] = True
+_ALONE[[*range(0x41, 0x5B), *range(0x61, 0x7B)]], _ALONE[0xC3:0xE0], _ALONE[0xE0:0xE2] = 1, 2, 3
+
+
+def _blocks(texts: pa.Array, rows: int | None = None) -> Iterator[tuple[int, list]]:
+    """Runs of a batch's texts with the place of the first: a text, and more up to BLOCK_CHARS and ``rows``."""
+    start, held, size = 0, [], 0
+    for text in texts.to_pylist():
+        if held and (size + len(text or "") > BLOCK_CHARS or len(held) == rows):
+            yield start, held
+            start, held, size = start + len(held), [], 0
+        held.append(text)
+        size += len(text or "")
+    if held:
+        yield start, held
+
+
+def _words(texts: list) -> tuple[pa.Array, np.ndarray]:
+    """The texts' terms, one after the other, and the number of each text: what TERM finds in their lower case. The bytes of all
+    texts are looked at together; U+00C0 to U+1EF9 are C3 80 to E1 BB B9."""
+    parts = [(t or "").lower().encode() for t in texts]
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    data = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)
+    there = _STARTS[data]
+    wide = np.flatnonzero(data >= 0xC3)
+    lead = data[wide]
+    there[wide[lead < 0xE0] + 1] = True
+    three = wide[(lead == 0xE0) | (lead == 0xE1)]
+    second = data[three + 1]
+    inside = (data[three] == 0xE0) | (second < 0xBB) | ((second == 0xBB) & (data[three + 2] <= 0xB9))
+    for k in range(3):
+        there[three + k] = inside
+    edges = np.flatnonzero(there[1:] != there[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    alone = sizes == _ALONE[data[starts]]
+    for k in range(3):
+        there[starts[alone & (sizes > k)] + k] = False
+    starts, sizes = starts[~alone], sizes[~alone]
+    offsets = np.append(0, np.cumsum(sizes))
+    words = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data[there]))
+    return words, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def _sorted_keys(lengths: np.ndarray, columns: np.ndarray, size: int) -> np.ndarray:
+    """Place of the text times ``size`` plus column, for each term of each text that has a column, in order."""
+    keys = np.repeat(np.arange(len(lengths)) * size, lengths) + columns
+    keys = keys[columns >= 0]
+    keys.sort()
+    return keys
 
 
 def cut(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -30,26 +79,21 @@ def cut(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """docs(id, text) to term, df, all, staged, for it is read three times and made in one pass: each task counts its terms; the
-    entry of no term counts chunks and sums lengths, chunks without terms too."""
+    """docs(id, text) to term, df, all, staged, for it is read three times and made in one pass: blocks of texts count their
+    terms; the entry of no term counts chunks and sums lengths, chunks without terms too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told() -> pa.RecordBatch:
-            lengths = pa.array([0] * (len(df) - 1) + [total], pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.string()), pa.array(df.values(), pa.int64()), lengths], names=["term", "df", "all"])
-
-        df, n, total = Counter(), 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                ts = _found((text or "").lower())
-                n, total = n + 1, total + len(ts)
-                df.update(set(ts))
-                if len(df) > HELD_TERMS:
-                    df[""] = n
-                    yield told()
-                    df, n, total = Counter(), 0, 0
-        df[""] = n
-        yield told()
+            for _, texts in _blocks(batch.column(0)):
+                words, lengths = _words(texts)
+                coded = words.dictionary_encode()
+                size = len(coded.dictionary)
+                keys = _sorted_keys(lengths, coded.indices.to_numpy(), size)
+                df = np.bincount(keys[np.diff(keys, prepend=-1) > 0] % max(1, size), minlength=size)
+                names = pa.concat_arrays([coded.dictionary.cast(pa.string()), pa.array([""])])
+                total = np.zeros(size + 1, np.int64)
+                total[-1] = len(words)
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.append(df, len(texts)), pa.int64()), pa.array(total)], names=["term", "df", "all"])
 
     parts = docs.select("text").mapInArrow(run, "term string, df long, all long")
     return stage_table(parts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("all").alias("all")), "terms")
@@ -83,14 +127,18 @@ def weights(queries: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_
     return found
 
 
-def scored(told: list[Row], qid_type: str, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+def scored(
+    told: list[Row], qid_type: str, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, within: Column | None = None
+) -> DataFrame:
     """The chunks' scores over 0 under ``weights``: qid, id, score; with ``k`` each task returns only what may be among the best
     k of a query (by score to 9 places, then id). Blocks of chunks meet the questions as a matrix product; chunks that share
-    an id are scored as one of the terms of all, where their lengths are equal, and summed otherwise."""
+    an id are scored as one of the terms of all, where their lengths are equal, and summed otherwise. With ``within``, a condition
+    on the chunks, the pass over the texts gives two rankings: of all chunks, and (column within) of those that meet it alone."""
     spark = chunks.sparkSession
     many = chunks.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
-    docs = cut(chunks, id_col, text_col)
-    kind = f"qid {qid_type}, id {docs.schema['id'].dataType.simpleString()}, score double"
+    docs = chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.lit(False) if within is None else within, F.lit(False)).alias("within"))
+    docs, names_out = spread(docs if within is not None else docs.drop("within")), ["qid", "id", "score", "within"][: 3 if within is None else 4]
+    kind = f"qid {qid_type}, id {docs.schema['id'].dataType.simpleString()}, score double" + (", within boolean" if within is not None else "")
     none = spark.createDataFrame([], kind)
     if not told:
         return none
@@ -110,7 +158,7 @@ def scored(told: list[Row], qid_type: str, chunks: DataFrame, id_col: str = "doc
         at, to, value = (np.array(x) for x in zip(*cells, strict=True))
         w = np.zeros((len(names), len(qids)))
         w[at, to] = value
-        asked, least = pa.array(qids, qid_arrow), np.zeros(len(qids))
+        asked, least = pa.array(qids, qid_arrow), np.zeros(len(qids) * (len(names_out) - 2))
         held: list[tuple] = []
 
         def best() -> tuple:
@@ -126,26 +174,26 @@ def scored(told: list[Row], qid_type: str, chunks: DataFrame, id_col: str = "doc
             return q, ids.take(pa.array(order)), s[order]
 
         def rows(q: np.ndarray, ids: pa.Array, s: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids, pa.array(s)], names=["qid", "id", "score"])
+            columns = [asked.take(pa.array(q % len(qids))), ids, pa.array(s), pa.array(q >= len(qids))]
+            return pa.RecordBatch.from_arrays(columns[: len(names_out)], names=names_out)
 
-        step = max(1, CELLS // len(names))
+        known = pa.array(names, pa.large_string())
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                n, columns, hits, lengths = part.num_rows, [], [], []
-                for text in part.column(1).to_pylist():
-                    ts = _found((text or "").lower())
-                    there = [c for c in map(t_at.get, ts) if c is not None]
-                    columns += there
-                    hits.append(len(there))
-                    lengths.append(len(ts))
-                norm = K1 * (1 - B + B * np.array(lengths) / avgdl)
-                key, tf = np.unique(np.repeat(np.arange(n), hits) * len(names) + np.array(columns, np.int64), return_counts=True)
+            for start, texts in _blocks(batch.column(1), max(1, CELLS // len(names))):
+                words, lengths = _words(texts)
+                n, columns = len(texts), pc.fill_null(pc.index_in(words, known), -1).to_numpy()
+                norm = K1 * (1 - B + B * lengths / avgdl)
+                keys = _sorted_keys(lengths, columns, len(names))
+                first = np.flatnonzero(np.diff(keys, prepend=-1))
+                key, tf = keys[first], np.diff(first, append=len(keys))
                 x = np.zeros((n, len(names)))
                 x.reshape(-1)[key] = tf * (K1 + 1) / (tf + norm[key // len(names)])
                 sums = (x @ w).T
+                if len(names_out) > 3:
+                    met = batch.column(2).slice(start, n).to_numpy(zero_copy_only=False)
+                    sums = np.vstack([sums, np.where(met, sums, 0.0)])
                 q, j = np.nonzero((sums > 0) & (sums >= least[:, None] - 2e-9))
-                some = (q, part.column(0).take(pa.array(j)), sums[q, j])
+                some = (q, batch.column(0).take(pa.array(start + j)), sums[q, j])
                 if k is None:
                     yield rows(*some)
                     continue
@@ -159,10 +207,14 @@ def scored(told: list[Row], qid_type: str, chunks: DataFrame, id_col: str = "doc
     if alone:
         return out
     table = spark.createDataFrame([tuple(r) for r in told], f"qid {qid_type}, term string, times long, idf double, avgdl double")
-    posts = repeated.select("id", terms(F.coalesce("text", F.lit(""))).alias("ts")).select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    posts = posts.groupBy("id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    if within is not None:
+        repeated = repeated.withColumn("within", F.explode(F.when(F.col("within"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    keys = ["id", *names_out[3:]]
+    posts = repeated.select(*keys, terms(F.coalesce("text", F.lit(""))).alias("ts")).select(*keys, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+    posts = posts.groupBy(*keys, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
     one = F.col("times") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))
-    return out.unionByName(posts.join(table, "term").groupBy("qid", "id").agg(F.sum(one).alias("score")).filter("score > 0"))
+    summed = posts.join(table, "term").groupBy("qid", *keys).agg(F.sum(one).alias("score")).filter("score > 0")
+    return out.unionByName(summed)
 
 
 def scores(queries: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
