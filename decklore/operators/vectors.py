@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from decklore.llm.common import stage_table
+
 #: Vectors of a block; blocks meet as matrices.
 BLOCK = 2048
 
@@ -30,8 +32,11 @@ def _packed(vectors: DataFrame, id_col: str, v_col: str, names: tuple[str, str])
 def knn_scores(queries: DataFrame, vectors: DataFrame, k: int | None = None, among: Callable | None = None) -> DataFrame:
     """queries(qid, qv) x vectors(id, v), unit length, to qid, id, score; with ``k`` only what may be among the best k of a
     query (by score to 9 places, then id). All vectors are scored, or those that ``among`` (query and vector matrices to a mask) lets by: a block of queries meets a block of vectors as a matrix
-    product. The query set is stated by the caller; its blocks go wherever Spark's size check sends them."""
-    asked, there = _packed(queries, "qid", "qv", ("qids", "qm")), _packed(vectors, "id", "v", ("ids", "m"))
+    product. The query set is stated by the caller, and staged: in as few blocks as hold it, however many partitions it came from,
+    for each of them meets every block of vectors. They go wherever Spark's size check sends them."""
+    given = stage_table(queries.select("qid", "qv"), "queries")
+    few = given.repartition(max(1, -(-given.count() // BLOCK)))
+    asked, there = stage_table(_packed(few, "qid", "qv", ("qids", "qm")), "query-blocks"), _packed(vectors, "id", "v", ("ids", "m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
