@@ -104,9 +104,9 @@ def nav_vs_qa_search(spark, d):
     """The filter goes below the ranking: navigation ranks all chunks, answers those that aren't short."""
     asked, docs = questions(spark, d), documents(spark, d)
     told, kind = bm25.weights(asked, docs), asked.schema["qid"].dataType.simpleString()
-    nav = ranking.ranked(bm25.scored(told, kind, docs, k=5), 5).withColumn("mode", F.lit("nav"))
-    qa = ranking.ranked(bm25.scored(told, kind, docs.filter("n_chars >= 500"), k=5), 5).withColumn("mode", F.lit("qa"))
-    return nav.unionByName(qa).select("mode", "qid", "id", "rank")
+    both = bm25.scored(told, kind, docs, k=5, within=F.col("n_chars") >= 500)
+    best = ranking.ranked(both.withColumn("qid", F.struct("within", "qid")), 5)
+    return best.select(F.when(F.col("qid.within"), "qa").otherwise("nav").alias("mode"), "qid.qid", "id", "rank")
 
 
 def confidence_gate(spark, d):
