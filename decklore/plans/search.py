@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decklore.llm.common import stage_table
 from decklore.operators import bm25, evaluation, ranking, vectors
 from decklore.sources.tables import read_table
 
@@ -29,14 +30,15 @@ def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.ranked(bm25.scores(questions(spark, d), documents(spark, d), k=ranking.POOL))
+    """Staged, as ``dense`` and ``wanted`` are: few rows a question, which queries read more than once."""
+    return stage_table(ranking.ranked(bm25.scores(questions(spark, d), documents(spark, d), k=ranking.POOL)), "sparse")
 
 
 def dense(spark: SparkSession, d: str, corpus: DataFrame | None = None) -> DataFrame:
     v = unit_vectors(spark, d)
     asked = questions(spark, d).select("qid").join(v.select(F.col("id").alias("qid"), F.col("v").alias("qv")), "qid")
     there = v.join((corpus or documents(spark, d)).select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return ranking.ranked(vectors.knn_scores(asked, there.select("id", "v"), ranking.POOL))
+    return stage_table(ranking.ranked(vectors.knn_scores(asked, there.select("id", "v"), ranking.POOL)), "dense")
 
 
 def wanted(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +47,7 @@ def wanted(spark: SparkSession, d: str) -> DataFrame:
         documents(spark, d).select(F.col("doc_id").alias("id"), "text"),
         questions(spark, d).select(F.col("qid").alias("aid"), F.col("q").alias("anchor")),
     )
-    return found.join(pages(spark, d), "id").select(F.col("aid").alias("qid"), "page").distinct()
+    return stage_table(found.join(pages(spark, d), "id").select(F.col("aid").alias("qid"), "page").distinct(), "wanted")
 
 
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
@@ -157,14 +159,14 @@ def eval_by_type(spark, d):
 
 
 def _grid_hits(spark, d):
-    configs = evaluation.grid(spark, list(KS), list(WEIGHTS), list(WEIGHTS))
+    configs, want = evaluation.grid(spark, list(KS), list(WEIGHTS), list(WEIGHTS)), wanted(spark, d)
     ranks = evaluation.grid_pages(dense(spark, d), sparse(spark, d), pages(spark, d), configs)
-    return configs, evaluation.first_hits(ranks, wanted(spark, d), ["k", "wd", "ws"])
+    return configs, want, evaluation.first_hits(ranks, want, ["k", "wd", "ws"])
 
 
 def tune_grid(spark, d):
-    configs, hits = _grid_hits(spark, d)
-    asked = configs.crossJoin(wanted(spark, d).select("qid").distinct())
+    configs, want, hits = _grid_hits(spark, d)
+    asked = configs.crossJoin(want.select("qid").distinct())
     return evaluation.counters(hits, asked, ["k", "wd", "ws"])
 
 
@@ -173,7 +175,7 @@ def tune_order(spark, d):
 
 
 def tune_gained_lost(spark, d):
-    return evaluation.gained_lost(_grid_hits(spark, d)[1], {"k": 15.0, "wd": 1.0, "ws": 1.0})
+    return evaluation.gained_lost(_grid_hits(spark, d)[2], {"k": 15.0, "wd": 1.0, "ws": 1.0})
 
 
 def self_retrieval_audit(spark, d):
@@ -185,8 +187,9 @@ def self_retrieval_audit(spark, d):
     hits = ranks.join(pages(spark, d), "id").groupBy("qid", "page").agg(F.min("rank").alias("rank"))
     split = F.split("qid", "/")
     hits = hits.select(F.get(split, F.lit(0)).alias("mode"), F.get(split, F.lit(1)).cast("long").alias("qid"), "page", "rank")
-    first = hits.join(wanted(spark, d), ["qid", "page"]).groupBy("mode", "qid").agg(F.min("rank").alias("rank"))
-    want = wanted(spark, d).select("qid").distinct()
+    found = wanted(spark, d)
+    first = hits.join(found, ["qid", "page"]).groupBy("mode", "qid").agg(F.min("rank").alias("rank"))
+    want = found.select("qid").distinct()
     every = want.withColumn("mode", F.lit("full")).unionByName(want.withColumn("mode", F.lit("start")))
     return evaluation.counters(first, every, ["mode"]).withColumn("passes", F.col("top1") >= 0.9 * F.col("n"))
 

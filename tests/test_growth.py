@@ -6,6 +6,7 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from decklore.functions.text import TERM
@@ -88,3 +89,48 @@ def test_approximate_candidates_are_not_shuffled(spark):
     got = vectors.approximate_scores(asked, v, planes=6, tables=3)
     assert {(r["qid"], r["id"]) for r in got.collect()} == want and len(want) < 1500
     assert "Aggregate" not in plan(got)
+
+
+def test_terms_of_blocks_are_those_of_the_pattern():
+    rng = random.Random(11)
+    odd = "aZ09 _-.\n\x00@[`{²ÀỹỺ߿ࠀကÿ¿ΣςİIı×÷ßẞ�中😀́ỸỻἀΩ"
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 30))) for _ in range(3000)] + [None, "", "x", "7", "ß", "é1", "Σ", "ΑΣ", "ΑΣ Σ"]
+    want = [re.findall(TERM, (t or "").lower()) for t in texts]
+    words, lengths = bm25._words(texts)
+    assert lengths.tolist() == [len(x) for x in want] and words.to_pylist() == [w for x in want for w in x]
+    assert [t for at, block in bm25._blocks(bm25.pa.array(texts), 7) for t in (block if at % 7 == 0 else ["?"])] == texts
+
+
+def test_questions_meet_vectors_as_few_blocks(spark):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(300, 8))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>").repartition(5)
+    got = vectors.knn_scores(v.filter("id < 40").selectExpr("id as qid", "v as qv").repartition(9), v, 3)
+    assert "CartesianProduct" not in plan(got)  # 9 x 5 tasks before, each of which packed its vectors
+    best = ranking.ranked(got, 3).orderBy("qid", "rank").collect()
+    order = np.argsort(-(m[:40] @ m.T), axis=1)[:, :3]
+    assert [(r["qid"], r["id"]) for r in best] == [(q, i) for q in range(40) for i in order[q]]
+    none = vectors.knn_scores(v.filter("id < 0").selectExpr("id as qid", "v as qv"), v, 3)
+    assert none.count() == 0
+
+
+def test_one_pass_ranks_all_and_some(spark):
+    docs = [(i, "aa bb" if i % 3 else "aa aa cc", None if i == 4 else i % 2) for i in range(60)] + [(5, "bb aa aa", 0), (5, "cc", 1), (6, None, 1)]
+    chunks = spark.createDataFrame(docs, "doc_id long, text string, n int").repartition(3)
+    asked = spark.createDataFrame([(1, "aa cc"), (2, "bb"), (3, "none")], "qid long, q string")
+    told = bm25.weights(asked, chunks)
+    for some in (chunks, chunks.filter("doc_id not in (5, 6)")):
+        both = bm25.scored(told, "bigint", some, k=5, within=chunks.n == 1 if some is chunks else some.n == 1)
+        assert plan(both).count("MapInArrow") == 1
+        for flag, rows in ((False, some), (True, some.filter("n = 1"))):
+            got = ranking.ranked(both.filter(both["within"] == flag).drop("within"), 5).collect()
+            want = ranking.ranked(bm25.scored(told, "bigint", rows, k=5), 5).collect()
+            key = lambda r: (r["qid"], r["rank"], r["id"], round(r["score"], 9))
+            assert sorted(map(key, got)) == sorted(map(key, want)) and len(want) >= 5
+
+
+@pytest.mark.parametrize("name", ["eval_counters", "eval_by_type", "search_modes", "tune_grid", "tune_gained_lost", "confidence_gate", "context_dedup", "gate_replies", "rrf_fusion"])
+def test_rankings_are_read_and_not_made_again(spark, name):
+    import __spark_entry__
+
+    assert "MapInArrow" not in plan(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))
