@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,49 +13,83 @@ from pyspark.sql.window import Window
 
 from decklore.functions.numeric import RRF_K, TOP
 
-#: Bytes of a text's window that anchors are looked up by, bits of the table of windows, positions looked at together.
+#: Bytes of a window that anchors are looked up by, bits of the table of windows, windows looked at together.
 WINDOW, TABLE_BITS, POSITIONS = 8, 20, 1 << 20
 _spread = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
 
 
+def _lookup(anchors: list[bytes], step: int) -> Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Anchors of at least WINDOW + step - 1 bytes to a function of bytes, which gives where which of them may start. Each has
+    ``step`` windows, one after the other, from its middle; one of them is where only every ``step``-th place is looked at."""
+    middles = [(len(a) - WINDOW - step + 1) // 2 for a in anchors]
+    rows = sorted((int.from_bytes(a[at : at + WINDOW], "little"), n, at) for n, a in enumerate(anchors) for at in range(middles[n], middles[n] + step))
+    keys = np.array([r[0] for r in rows], np.uint64)
+    number, before = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+    table = np.zeros(1 << TABLE_BITS, bool)
+    table[_spread(keys)] = True
+
+    def found(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        places = (len(data) - WINDOW) // step + 1 if len(keys) else 0
+        for start in range(0, places, POSITIONS):
+            windows = np.ndarray(min(POSITIONS, places - start), "<u8", data, start * step, (step,))
+            some = np.flatnonzero(table[_spread(windows)])
+            left, right = (np.searchsorted(keys, windows[some], side) for side in ("left", "right"))
+            times = right - left
+            which = np.arange(times.sum()) + np.repeat(left - (np.cumsum(times) - times), times)
+            yield np.repeat(some + start, times) * step - before[which], number[which]
+
+    return found
+
+
+def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, none of which is null, as they lie in memory, and where each ends."""
+    _, offsets, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at[1:] - at[0]
+
+
 def containing(texts: DataFrame, anchors: DataFrame) -> DataFrame:
     """texts(id, text), anchors(aid, anchor) to (aid, id), one for each text that contains the anchor.
 
-    The anchors, a batch of questions, come to the driver. Each has a window of eight bytes from its middle; one pass over the
-    texts looks up all of theirs in a table of these, and only where one is found is the anchor compared as a whole. UTF-8
-    contains a text's bytes where the text contains the characters. Anchors of fewer bytes are searched in every text.
+    The anchors, a batch of questions, come to the driver. One pass over the texts looks up windows of eight bytes, every
+    eighth one, in a table of those that the anchors have; only where one is found, and the anchor's first and last bytes fit,
+    is it compared as a whole. UTF-8 contains a text's bytes where the text contains the characters. Anchors of fewer than 15
+    bytes are looked up at every byte, those of fewer than eight searched in every text.
     """
     told = [(r["aid"], r["anchor"].encode()) for r in anchors.select("aid", "anchor").filter("anchor is not null").distinct().collect()]
     kinds = [d.schema[c].dataType.simpleString() for d, c in ((anchors, "aid"), (texts, "id"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = [x for x in told if len(x[1]) < WINDOW]
-        keyed: dict[int, list] = {}
-        for aid, anchor in told:
-            if len(anchor) >= WINDOW:
-                at = (len(anchor) - WINDOW) // 2
-                keyed.setdefault(int.from_bytes(anchor[at : at + WINDOW], "little"), []).append((aid, anchor, at))
-        keys = np.array(sorted(keyed), np.uint64)
-        table = np.zeros(1 << TABLE_BITS, bool)
-        table[_spread(keys)] = True
+        sought = []
+        for step, some in (
+            (1, [x for x in told if WINDOW <= len(x[1]) < 2 * WINDOW - 1]),
+            (WINDOW, [x for x in told if len(x[1]) >= 2 * WINDOW - 1]),
+        ):
+            if some:
+                ends = [np.array([int.from_bytes(part(a), "little") for _, a in some], np.uint64) for part in (lambda a: a[:WINDOW], lambda a: a[-WINDOW:])]
+                sought.append((some, np.array([len(a) for _, a in some]), *ends, _lookup([a for _, a in some], step)))
         for batch in batches:
-            ids, texts = batch.column(0), [t.encode() for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([len(t) for t in texts])
-            data = b"".join(texts)
+            if not batch.num_rows:
+                continue
+            data, ends = _utf8(batch.column(1))
             found = set()
-            for start in range(0, len(data) - WINDOW + 1 if len(keys) else 0, POSITIONS):
-                n = min(POSITIONS, len(data) - WINDOW + 1 - start)
-                windows = np.ndarray(n, "<u8", data, start, (1,))
-                some = np.flatnonzero(table[_spread(windows)])
-                for at in some[np.isin(windows[some], keys)] + start:
-                    row = int(np.searchsorted(ends, at, "right"))
-                    first = int(ends[row]) - len(texts[row])
-                    for aid, anchor, before in keyed[int.from_bytes(data[at : at + WINDOW], "little")]:
-                        if at - before >= first and texts[row].startswith(anchor, int(at) - before - first):
-                            found.add((aid, row))
-            found |= {(aid, row) for aid, anchor in short for row, t in enumerate(texts) if anchor in t}
+            if len(data) >= WINDOW:
+                every = np.ndarray(len(data) - WINDOW + 1, "<u8", data, 0, (1,))
+                for some, sizes, heads, tails, lookup in sought:
+                    for at, n in lookup(data):
+                        inside = (at >= 0) & (at + sizes[n] <= len(data))
+                        at, n = at[inside], n[inside]
+                        row = np.searchsorted(ends, at, "right")
+                        fits = (at + sizes[n] <= ends[row]) & (every[at] == heads[n]) & (every[at + sizes[n] - WINDOW] == tails[n])
+                        for i, k, r in zip(at[fits].tolist(), n[fits].tolist(), row[fits].tolist(), strict=True):
+                            if data[i : i + sizes[k]].tobytes() == some[k][1]:
+                                found.add((some[k][0], r))
+            if short:
+                found |= {(aid, row) for row, t in enumerate(batch.column(1).to_pylist()) for aid, anchor in short if anchor in t.encode()}
             aids, rows = zip(*sorted(found, key=lambda x: x[1]), strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(aids, aid_type), ids.take(pa.array(rows, pa.int64()))], names=["aid", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(aids, aid_type), batch.column(0).take(pa.array(rows, pa.int64()))], names=["aid", "id"])
 
     aid_type = to_arrow_type(anchors.schema["aid"].dataType)
     return texts.select("id", "text").filter("text is not null").mapInArrow(run, f"aid {kinds[0]}, id {kinds[1]}")

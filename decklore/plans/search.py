@@ -42,12 +42,12 @@ def dense(spark: SparkSession, d: str, corpus: DataFrame | None = None) -> DataF
 
 
 def wanted(spark: SparkSession, d: str) -> DataFrame:
-    """qid, page: the pages with a document that contains the question's text."""
+    """qid, page: the pages with a document that contains the question's text, found with it, not looked up by its id."""
     found = evaluation.containing(
-        documents(spark, d).select(F.col("doc_id").alias("id"), "text"),
+        documents(spark, d).select(F.col("source").alias("id"), "text"),
         questions(spark, d).select(F.col("qid").alias("aid"), F.col("q").alias("anchor")),
     )
-    return stage_table(found.join(pages(spark, d), "id").select(F.col("aid").alias("qid"), "page").distinct(), "wanted")
+    return stage_table(found.select(F.col("aid").alias("qid"), F.col("id").alias("page")).distinct(), "wanted")
 
 
 def hybrid(spark: SparkSession, d: str) -> DataFrame:

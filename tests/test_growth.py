@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from decklore.functions.text import TERM
 from decklore.operators import bm25, documents as dx, evaluation, ranking, scripts, vectors
@@ -51,6 +52,44 @@ def test_anchors_need_no_join(spark):
     assert "Join" not in plan(got) and "Exchange" not in plan(got)
 
 
+def test_anchors_of_any_length_and_place(spark):
+    rng = random.Random(8)
+    texts = [(i, "".join(rng.choices("aab é", k=rng.randint(0, 60)))) for i in range(400)] + [(400, None)]
+    anchors = [(n, t[at : at + n]) for n in range(1, 40) for t, at in [(rng.choice([t for _, t in texts[:400] if len(t) > n + 9]), rng.randint(0, 9))]]
+    anchors += [(100 + i, texts[i][1] + texts[i + 1][1]) for i in range(40)] + [(200, ""), (201, "b" * 15)]
+    got = evaluation.containing(spark.createDataFrame(texts, "id int, text string").coalesce(1), spark.createDataFrame(anchors, "aid int, anchor string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((a, i) for a, x in anchors for i, t in texts if t is not None and x in t)
+
+
+def test_anchors_are_looked_up_at_every_eighth_byte():
+    data = np.frombuffer("".join(random.Random(9).choices("abcdefgh ", k=1 << 23)).encode(), np.uint8)
+    anchor, seconds = data[5_000_003:5_000_103].tobytes(), {}
+    for step in (8, 1):
+        find, began = evaluation._lookup([anchor], step), time.process_time()
+        assert [int(x) for at, _ in find(data) for x in at if data[x : x + 100].tobytes() == anchor] == [5_000_003]
+        seconds[step] = time.process_time() - began
+    assert seconds[8] < seconds[1] / 2
+
+
+def _tables(spark, folder, docs):
+    """Documents that sf0.001's questions and vectors are asked of."""
+    for name in ("benchmark", "embeddings"):
+        (folder / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_wanted_pages_are_those_of_the_texts(spark, tmp_path):
+    from decklore.plans import search
+
+    docs = search.documents(spark, "/root/testdata/sf0.001")
+    first = search.questions(spark, "/root/testdata/sf0.001").orderBy("qid").first()
+    odd = spark.createDataFrame([(1, "no question", "en", "elsewhere", 1), (None, f"x {first['q']} y", "en", "of null", 1), (1, f"{first['q']} y", "en", None, 1)], docs.schema)
+    d = _tables(spark, tmp_path, docs.unionByName(odd))
+    pages = {r["page"] for r in search.wanted(spark, d).filter(F.col("qid") == first["qid"]).collect()}
+    assert {"of null", None} <= pages and "elsewhere" not in pages  # looked up by the id before
+
+
 def test_link_blocks_shuffle_boxes_not_pairs(spark, monkeypatch):
     monkeypatch.setattr(dx, "MEET", 20)
     rng = random.Random(5)
