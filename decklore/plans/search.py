@@ -3,6 +3,8 @@ question's vector is the embedding of the same number."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +52,16 @@ def wanted(spark: SparkSession, d: str) -> DataFrame:
     return stage_table(found.select(F.col("aid").alias("qid"), F.col("id").alias("page")).distinct(), "wanted")
 
 
+def found_pages(spark: SparkSession, d: str, *rankings: DataFrame) -> DataFrame:
+    """id, page of what the rankings have, staged: one pass over the documents marks them by the ids of these few rows, and no
+    later join shuffles all pages."""
+    ids = reduce(DataFrame.unionByName, [r.select("id") for r in rankings]).distinct()
+    return stage_table(pages(spark, d).join(F.broadcast(ids), "id", "left_semi"), "pages")
+
+
 def hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.by_page(ranking.fuse(dense(spark, d), sparse(spark, d)), pages(spark, d), top=None)
+    de, sp = dense(spark, d), sparse(spark, d)
+    return ranking.by_page(ranking.fuse(de, sp), found_pages(spark, d, de, sp), top=None)
 
 
 # ---- queries

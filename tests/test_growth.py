@@ -173,3 +173,22 @@ def test_rankings_are_read_and_not_made_again(spark, name):
     import __spark_entry__
 
     assert "MapInArrow" not in plan(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("name", ["eval_by_type", "confidence_gate"])
+def test_pages_are_looked_up_once(spark, name):
+    import __spark_entry__
+
+    read = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not [f for f in read if "documents.parquet" in f]  # joins met the pages of all documents before
+
+
+def test_pages_of_repeated_and_null_ids(spark, tmp_path):
+    from decklore.plans import search
+
+    docs = search.documents(spark, "/root/testdata/sf0.001")
+    odd = spark.createDataFrame([(1, "a", "en", "elsewhere", 1), (2, "a", "en", None, 1), (None, "a", "en", "of null", 1)], docs.schema)
+    d = _tables(spark, tmp_path, docs.unionByName(odd))
+    ranks = [spark.createDataFrame([(q, i) for i in ids], "qid long, id long") for q, ids in ((1, [1, 2, 5]), (2, [2, 9, None]))]
+    got = search.found_pages(spark, d, *ranks).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, search.pages(spark, d).filter("id in (1, 2, 5, 9)").collect()))) and len(got) == 6
