@@ -104,8 +104,8 @@ def hybrid_search_pages(spark, d):
 
 
 def search_modes(spark, d):
-    de, sp, pg = dense(spark, d), sparse(spark, d), pages(spark, d)
-    out = None
+    de, sp = dense(spark, d), sparse(spark, d)
+    pg, out = found_pages(spark, d, de, sp), None
     for mode, wd, ws in (("dense", 1, 0), ("sparse", 0, 1), ("hybrid", 1, 1)):
         hits = ranking.by_page(ranking.fuse(de, sp, wd=wd, ws=ws), pg).select(F.lit(mode).alias("mode"), "qid", "pos", "page")
         out = hits if out is None else out.unionByName(hits)
@@ -150,7 +150,8 @@ def anchor_eval(spark, d):
 
 
 def eval_counters(spark, d):
-    want, de, sp, pg = wanted(spark, d), dense(spark, d), sparse(spark, d), pages(spark, d)
+    want, de, sp = wanted(spark, d), dense(spark, d), sparse(spark, d)
+    pg = found_pages(spark, d, de, sp)
     asked = want.select("qid").distinct()
     out = None
     for mode, wd, ws in (("dense", 1, 0), ("sparse", 0, 1), ("hybrid", 1, 1)):
