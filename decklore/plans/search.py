@@ -171,7 +171,8 @@ def eval_by_type(spark, d):
 
 def _grid_hits(spark, d):
     configs, want = evaluation.grid(spark, list(KS), list(WEIGHTS), list(WEIGHTS)), wanted(spark, d)
-    ranks = evaluation.grid_pages(dense(spark, d), sparse(spark, d), pages(spark, d), configs)
+    de, sp = dense(spark, d), sparse(spark, d)
+    ranks = evaluation.grid_pages(de, sp, found_pages(spark, d, de, sp), configs)
     return configs, want, evaluation.first_hits(ranks, want, ["k", "wd", "ws"])
 
 
