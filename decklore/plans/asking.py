@@ -43,10 +43,10 @@ def page_labels(spark, d):
 
 
 def context_dedup(spark, d):
-    sp = search.sparse(spark, d)
-    pages = search.pages(spark, d)
+    sp, de = search.sparse(spark, d), search.dense(spark, d)
+    pages = search.found_pages(spark, d, sp, de)
     hits = sp.join(pages, "id").groupBy("qid", "page").agg(F.min("rank").alias("pos"))
-    de = search.dense(spark, d).join(pages, "id").groupBy("qid", "page").agg(F.min("rank").alias("pos"))
+    de = de.join(pages, "id").groupBy("qid", "page").agg(F.min("rank").alias("pos"))
     current = search.questions(spark, d).select("qid", F.concat(F.lit("src"), (F.col("qid") % 20).cast("string")).alias("page"))
     return runtime.contexts(hits.filter("pos <= 5"), de.filter("pos <= 5"), current, 4)
 
