@@ -115,7 +115,7 @@ def overdue_questions(spark, d):
 
 def gate_replies(spark, d):
     """Navigation by questions that name their second page."""
-    hits = ranking.by_page(ranking.fuse(search.dense(spark, d), search.sparse(spark, d)), search.pages(spark, d), None)
+    hits = search.hybrid(spark, d)
     return ranking.gate(hits, hits.filter("pos = 2").select("qid", "page"), 0.01).select("qid", "action", "candidates")
 
 

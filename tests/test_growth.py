@@ -175,7 +175,7 @@ def test_rankings_are_read_and_not_made_again(spark, name):
     assert "MapInArrow" not in plan(__spark_entry__.queries()[name](spark, "/root/testdata/sf0.001"))
 
 
-@pytest.mark.parametrize("name", ["eval_by_type", "confidence_gate", "search_modes", "eval_counters", "tune_grid", "tune_order", "tune_gained_lost", "context_dedup"])
+@pytest.mark.parametrize("name", ["eval_by_type", "confidence_gate", "search_modes", "eval_counters", "tune_grid", "tune_order", "tune_gained_lost", "context_dedup", "gate_replies"])
 def test_pages_are_looked_up_once(spark, name):
     import __spark_entry__
 
